@@ -52,8 +52,8 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def crc_rest(column: Column, of: int) -> Column:
-    """crc32 of the id as text, modulo ``of``: the split into training and held-out rows."""
-    return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(of))
+    """crc32 of the id as text, modulo ``of`` (-1 for null): the split into training and held-out rows."""
+    return F.coalesce(F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(of)), F.lit(-1))
 
 
 def only(docs: DataFrame, *names: str) -> DataFrame:

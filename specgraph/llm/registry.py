@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, records
+from . import bpe, decontam, lm, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": decontam.query,
+    "op6_deleted_interpolation": lm.query,
     "op8_token_records": records.query,
     "op9_byte_bpe": bpe.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_decontaminate": decontam.SQL}
