@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lm, records
+from . import bpe, decontam, lm, ngram_join, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontam.query,
+    "op5_ngram_jaccard_join": ngram_join.query,
     "op6_deleted_interpolation": lm.query,
     "op8_token_records": records.query,
     "op9_byte_bpe": bpe.query,
 }
 
-SQL: dict[str, str] = {"op1_decontaminate": decontam.SQL}
+SQL: dict[str, str] = {"op1_decontaminate": decontam.SQL, "op5_ngram_jaccard_join": ngram_join.SQL}
