@@ -27,9 +27,9 @@ from . import _util
 
 #: Bytes per lane of the vectorised checksum, and of text that are tokenised or framed together.
 LANE = 256
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 #: Whitespace-delimited pieces whose ids a worker remembers.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 800_000
 _HEAD, _HEAD_BYTES = "<qII", 16
 
 
@@ -167,16 +167,27 @@ class PieceTokenizer:
         self.width = width or (2 if self.lib.get_vocab_size() <= 1 << 16 else 4)
         self.known: dict[str, bytes] = {}
 
+    @staticmethod
+    def _parts(piece: str) -> tuple[str, str]:
+        """A word and the mark after it, which the pre-tokeniser parts too; ASCII letters in lower case, as the normaliser has them."""
+        stem, mark = (piece[:-1], piece[-1]) if piece[-1:] in (".", ",", "!", "?", ";", ":") and piece[:-1].isalpha() else (piece, "")
+        return (stem.lower() if stem.isascii() and stem.isalpha() else stem), mark
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
         new = list(set(itertools.chain.from_iterable(split)).difference(self.known))
         if len(self.known) + len(new) > KEPT_PIECES:
             self.known = {}
             new = list(set(itertools.chain.from_iterable(split)))
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for piece, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
+        parts = [self._parts(p) for p in new]
+        need = list({x for pair in parts for x in pair}.difference(self.known))
+        for k in range(0, len(need), 20_000):
+            some = need[k : k + 20_000]
+            for piece, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)):
                 self.known[piece] = np.array(e.ids, dtype=f"<u{self.width}").tobytes()
+        for piece, (stem, mark) in zip(new, parts):
+            if piece != stem:
+                self.known[piece] = self.known[stem] + self.known[mark]
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
 
