@@ -18,7 +18,7 @@ from . import _util
 from .quality import labelled
 
 #: Labelled documents that a model is fitted on, at most; documents of these a feature must be in.
-SAMPLE, LEAST = 6000, 4
+SAMPLE, LEAST = 8000, 8
 KEPT_WORDS = 500_000
 _ENDS = ".!?⏎"
 _EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "⏎¡¿«»“”"
@@ -44,19 +44,25 @@ class _Codes(dict):
 
 
 class Bags:
-    """Texts as words and sentences: code of each word, the sentence starts, and the sentences of each text."""
+    """Texts as sentences, each the set of its words: words (numbers), starts of the sentences among these, sentences of each text.
+
+    bounds: where each sentence starts among the tokens of all texts.
+    """
 
     def __init__(self, texts: list[str | None], codes: _Codes):
         each = [np.fromiter(map(codes.__getitem__, t), dtype=np.int64, count=len(t)) for t in map(tokens, texts)]
         each = [c if len(c) else np.array([codes["⏎"]]) for c in each]  # an empty text is one sentence without words
         flat = np.concatenate(each)
-        self.words = flat >> 1
         ends = (flat & 1).astype(bool)
         ends[np.cumsum([len(c) for c in each]) - 1] = True
-        self.starts = np.append(0, np.flatnonzero(ends)[:-1] + 1)
+        self.bounds = np.append(0, np.flatnonzero(ends)[:-1] + 1)
         doc = np.repeat(np.arange(len(each)), [len(c) for c in each])
-        self.doc = doc[self.starts]
+        self.doc = doc[self.bounds]
         self.doc_starts = np.searchsorted(self.doc, np.arange(len(each)))
+        width = len(codes)
+        pair = np.unique((np.cumsum(ends) - ends) * width + (flat >> 1))
+        self.words, self.sentence = pair % width, pair // width
+        self.starts = np.searchsorted(self.sentence, np.arange(len(self.bounds)))
 
 
 class Model:
@@ -96,7 +102,7 @@ class Scorer:
         return -np.expm1(np.add.reduceat(-np.logaddexp(0, logit), bags.doc_starts))
 
 
-def fit(texts: list[str | None], label: np.ndarray, rounds: int = 150, rate: float = 0.1, penalty: float = 2e-4) -> Model:
+def fit(texts: list[str | None], label: np.ndarray, rounds: int = 150, rate: float = 0.1, penalty: float = 1e-4) -> Model:
     """Minimise the logistic loss of the noisy-or by Adam; weights start at zero, the bias at the base rate.
 
     Documents of the rarer label count more, up to balance by half. With one label only, the bias alone tells.
@@ -113,8 +119,7 @@ def fit(texts: list[str | None], label: np.ndarray, rounds: int = 150, rate: flo
             word_at.append(i)
             feature_at.append(names.setdefault(f, len(names)))
     word_at, feature_at = np.array(word_at), np.array(feature_at)
-    doc_of_word = np.repeat(bags.doc, np.diff(np.append(bags.starts, len(bags.words))))
-    pair = np.unique(doc_of_word * len(codes) + bags.words)  # a word once a document
+    pair = np.unique(bags.doc[bags.sentence] * len(codes) + bags.words)  # a word once a document
     cut = np.searchsorted(word_at, np.arange(len(codes) + 1))
     width = np.diff(cut)
     pair_word, pair_doc = pair % len(codes), pair // len(codes)
@@ -134,7 +139,7 @@ def fit(texts: list[str | None], label: np.ndarray, rounds: int = 150, rate: flo
     active = np.zeros(len(codes), dtype=bool)
     active[word_at] = True
     on = active[bags.words]
-    sentence = np.repeat(np.arange(len(bags.starts)), np.diff(np.append(bags.starts, len(bags.words))))[on]
+    sentence = bags.sentence[on]
     word = bags.words[on]
     n_sent = np.diff(np.append(bags.doc_starts, len(bags.starts)))
     bias = float(np.log(np.expm1(-np.log1p(-rate1 / 2) / np.median(n_sent)) + 1e-12))
@@ -150,7 +155,7 @@ def fit(texts: list[str | None], label: np.ndarray, rounds: int = 150, rate: flo
         p = -np.expm1(none)
         # d loss / d none: for label 0 the loss is -none, for label 1 -log(1 - exp(none)).
         pull = np.where(label == 1, np.exp(none) / np.maximum(p, 1e-9), -1.0) * importance
-        by_sentence = -pull[bags.doc] / (1 + np.exp(-logit))
+        by_sentence = -pull[bags.doc] / (1 + np.exp(-np.clip(logit, -500, 500)))
         g_word = np.bincount(word, weights=by_sentence[sentence], minlength=len(codes))
         g = np.append(np.bincount(feature_at, weights=g_word[word_at], minlength=m), by_sentence.sum()) / len(label)
         g[:m] += penalty * w[:m]
@@ -194,15 +199,30 @@ def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 bags, logit = scorer.sentences([text])
-                words, ends = tokens(text), np.append(bags.starts[1:], len(bags.words))
+                words = tokens(text)
+                ends = np.append(bags.bounds[1:], max(len(words), 1))
                 for k in np.flatnonzero(1 / (1 + np.exp(-logit)) >= least).tolist():
-                    own = [w for w in words[bags.starts[k] : ends[k]] if w != "⏎"]
+                    own = [w for w in words[bags.bounds[k] : ends[k]] if w != "⏎"]
                     rows.append({"doc_id": doc_id, "sentence_no": k, "score": float(1 / (1 + np.exp(-logit[k]))), "sentence": " ".join(own)})
             yield pa.RecordBatch.from_pylist(rows, schema=kept)
 
     return _util.only(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, sentence_no int, score double, sentence string")
 
 
+def keep_clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose text scores ``least`` or more; all columns stay, rows without an id too."""
+    spark = docs.sparkSession
+    _util.tune(spark)
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for b in batches:
+            yield b.filter(pa.array(scorer.documents(b.column("text").to_pylist()) < least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _util.read(spark, sf_dir, "documents"), _util.read(spark, sf_dir, "labels")
     rest = _util.crc_rest(F.col("doc_id"), 5)
