@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cleaning
+from . import analytics, cleaning
 
-MODULES = (cleaning,)
+MODULES = (cleaning, analytics)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
