@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, cleaning
+from . import analytics, cleaning, storage
 
-MODULES = (cleaning, analytics)
+MODULES = (cleaning, analytics, storage)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
