@@ -14,22 +14,25 @@ from pyspark.sql import functions as F
 
 from . import _util
 
-#: Buckets of the token counts that order tokens: fixed, and so is the size of what every task gets.
-BUCKETS = 16384
+#: Buckets of the token counts that order tokens, sixteen to a word of 64 bits: fixed, and so is the size of what every task gets.
+BUCKETS = 1 << 20
 _SHIFT = 4294967296
 
 
 def _norm(line: Column) -> Column:
-    """Lower case, white space as single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+    """Lower case, any ASCII white space as a space, none at the ends."""
+    low = F.lower(line)
+    for c in "\t\n\x0b\f\r":
+        low = F.replace(low, F.lit(c), F.lit(" "))
+    return F.trim(low)
 
 
 def _tokens(norm: Column) -> Column:
-    return F.array_distinct(F.split(norm, " "))
+    return F.array_remove(F.array_distinct(F.split(norm, " ")), "")
 
 
-def _bucket(token: Column) -> Column:
-    return F.pmod(F.hash(token), F.lit(BUCKETS))
+def _hashes(norm: Column) -> Column:
+    return F.transform(_tokens(norm), lambda t: F.xxhash64(t))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -47,20 +50,28 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 
 def rarity(lines: DataFrame) -> Column:
-    """Rank of every token bucket, the rarest first, as a constant array."""
-    counts = lines.select(F.explode(_tokens(F.col("norm"))).alias("t")).groupBy(_bucket(F.col("t")).alias("b")).count().collect()
-    ranks = [0] * BUCKETS
-    seen = {r["b"]: r["count"] for r in counts}
-    for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: (seen.get(b, 0), b))):
-        ranks[b] = rank
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+    """Magnitude (power of two) of the count of every token bucket, as a constant array of packed words."""
+    counts = lines.select(F.explode(_hashes(F.col("norm"))).alias("h")).groupBy(F.shiftrightunsigned("h", 44).alias("b")).count()
+    level = F.least(F.log2(F.col("count").cast("double")).cast("int"), F.lit(15)).cast("bigint")
+    own = F.call_function("shiftleft", level, (F.col("b").bitwiseAND(F.lit(15)) * 4).cast("int"))
+    packed = counts.groupBy(F.shiftright("b", 4).alias("w")).agg(F.bit_or(own).alias("v")).collect()
+    words = ["0"] * (BUCKETS // 16)
+    for r in packed:
+        words[r["w"]] = str(r["v"])
+    return F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
 
 
 def prefixes(lines: DataFrame, threshold: float) -> DataFrame:
     """(token, at, doc_id, line_no, n, bits): the first tokens of each line by rarity, with the line's size and summary."""
     ranks = rarity(lines)
-    code = F.transform(_tokens(F.col("norm")), lambda t: F.shiftleft(F.get(ranks, _bucket(t)), 48).bitwiseOR(F.shiftrightunsigned(F.xxhash64(t), 16)))
-    sets = lines.select("doc_id", "line_no", F.array_sort(code).alias("codes")).withColumn("n", F.size("codes"))
+
+    def code(h: Column) -> Column:
+        """Magnitude of the token's count, then 59 bits of its hash."""
+        place = (F.shiftrightunsigned(h, 44).bitwiseAND(F.lit(15)) * 4).cast("int")
+        level = F.call_function("shiftrightunsigned", F.get(ranks, F.shiftrightunsigned(h, 48).cast("int")), place).bitwiseAND(F.lit(15))
+        return F.shiftleft(level, 59).bitwiseOR(h.bitwiseAND(F.lit((1 << 59) - 1)))
+
+    sets = lines.select("doc_id", "line_no", F.sort_array(F.transform(_hashes(F.col("norm")), code)).alias("codes")).withColumn("n", F.size("codes"))
     bits = F.aggregate("codes", F.lit(0).cast("bigint"), lambda a, c: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(F.lit(63)).cast("int"))))
     length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
     return sets.select("doc_id", "line_no", "n", bits.alias("bits"), F.posexplode(F.slice("codes", F.lit(1), length)).alias("at", "token"))
