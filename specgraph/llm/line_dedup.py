@@ -31,8 +31,14 @@ def _tokens(norm: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(norm, " ")), "")
 
 
-def _hashes(norm: Column) -> Column:
-    return F.transform(_tokens(norm), lambda t: F.xxhash64(t))
+def _word(h: Column) -> Column:
+    """Which packed word holds the bucket of a token's hash."""
+    return F.shiftrightunsigned(h, 48).cast("int")
+
+
+def _place(h: Column) -> Column:
+    """At which bit of it: a multiple of four."""
+    return h.bitwiseAND(F.lit(60)).cast("int")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -51,10 +57,10 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 def rarity(lines: DataFrame) -> Column:
     """Magnitude (power of two) of the count of every token bucket, as a constant array of packed words."""
-    counts = lines.select(F.explode(_hashes(F.col("norm"))).alias("h")).groupBy(F.shiftrightunsigned("h", 44).alias("b")).count()
+    h = F.xxhash64("t")
+    counts = lines.select(F.explode(F.split("norm", " ")).alias("t")).groupBy(_word(h).alias("w"), _place(h).alias("p")).count()
     level = F.least(F.log2(F.col("count").cast("double")).cast("int"), F.lit(15)).cast("bigint")
-    own = F.call_function("shiftleft", level, (F.col("b").bitwiseAND(F.lit(15)) * 4).cast("int"))
-    packed = counts.groupBy(F.shiftright("b", 4).alias("w")).agg(F.bit_or(own).alias("v")).collect()
+    packed = counts.groupBy("w").agg(F.bit_or(F.call_function("shiftleft", level, F.col("p"))).alias("v")).collect()
     words = ["0"] * (BUCKETS // 16)
     for r in packed:
         words[r["w"]] = str(r["v"])
@@ -67,14 +73,18 @@ def prefixes(lines: DataFrame, threshold: float) -> DataFrame:
 
     def code(h: Column) -> Column:
         """Magnitude of the token's count, then 59 bits of its hash."""
-        place = (F.shiftrightunsigned(h, 44).bitwiseAND(F.lit(15)) * 4).cast("int")
-        level = F.call_function("shiftrightunsigned", F.get(ranks, F.shiftrightunsigned(h, 48).cast("int")), place).bitwiseAND(F.lit(15))
+        level = F.call_function("shiftrightunsigned", F.get(ranks, _word(h)), _place(h)).bitwiseAND(F.lit(15))
         return F.shiftleft(level, 59).bitwiseOR(h.bitwiseAND(F.lit((1 << 59) - 1)))
 
-    sets = lines.select("doc_id", "line_no", F.sort_array(F.transform(_hashes(F.col("norm")), code)).alias("codes")).withColumn("n", F.size("codes"))
-    bits = F.aggregate("codes", F.lit(0).cast("bigint"), lambda a, c: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(F.lit(63)).cast("int"))))
-    length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    return sets.select("doc_id", "line_no", "n", bits.alias("bits"), F.posexplode(F.slice("codes", F.lit(1), length)).alias("at", "token"))
+    def about(codes: Column) -> Column:
+        n = F.size(codes)
+        bits = F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, c: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(F.lit(63)).cast("int"))))
+        return F.struct(n.alias("n"), bits.alias("bits"), F.slice(codes, F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1).alias("first"))
+
+    hashes = F.array_distinct(F.transform(F.array_remove(F.split("norm", " "), ""), lambda t: F.xxhash64(t)))
+    # Bound to a lambda's variable and generated, the sorted codes are made once, not once per use.
+    sets = lines.select("doc_id", "line_no", F.inline(F.transform(F.array(F.sort_array(F.transform(hashes, code))), about)))
+    return sets.select("doc_id", "line_no", "n", "bits", F.posexplode("first").alias("at", "token"))
 
 
 def similar_pairs(lines: DataFrame, threshold: float) -> DataFrame:
@@ -105,7 +115,7 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     A line goes if any earlier one, by doc_id and then line number, has a Jaccard similarity of ``threshold`` or more, whether
     that one stays or not. Tokens are runs of characters other than ASCII white space, in lower case.
     """
-    lines = _util.cut(distinct_lines(_util.only(docs, "doc_id", "text").filter("doc_id is not null")), "lines")
+    lines = _util.cut(distinct_lines(_util.only(docs, "doc_id", "text").filter("doc_id is not null")), "lines", "zstd")
     _util.free_shuffles(docs.sparkSession)
     gone = _util.cut(similar_pairs(lines, threshold).select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).distinct(), "gone-lines")
     _util.free_shuffles(docs.sparkSession)
