@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, cleaning, storage, textual
+from . import analytics, cleaning, flows, storage, textual
 
-MODULES = (cleaning, analytics, storage, textual)
+MODULES = (cleaning, analytics, storage, textual, flows)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
