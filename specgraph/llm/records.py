@@ -11,7 +11,6 @@ a task that runs again, or twice, leaves one good copy.
 
 from __future__ import annotations
 
-import itertools
 import os
 import struct
 import uuid
@@ -29,7 +28,7 @@ from . import _util
 LANE = 256
 GROUP_CHARS = 2_000_000
 #: Whitespace-delimited pieces whose ids a worker remembers.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 900_000
 _HEAD, _HEAD_BYTES = "<qII", 16
 
 
@@ -152,11 +151,31 @@ class ShardReader:
         return [b for _, b, _ in held]
 
 
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
+
+
+class _Known(dict):
+    """Piece to the bytes of its ids, which ``encode`` makes on first sight."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.encode(piece)
+        return ids
+
+
 class PieceTokenizer:
-    """Whole texts to ids with the tokenizers library, which gets each piece between spaces once.
+    """Whole texts to ids with the tokenizers library, which gets each piece between white space once.
 
-    Neither the vocabulary's normaliser nor its pre-tokeniser looks past a space, so
-    that the ids of a text are those of its pieces in a row.
+    Neither the vocabulary's normaliser nor its pre-tokeniser looks past white space, so that the ids of a text
+    are those of its pieces in a row. A word of letters is a single pre-token: after the library's normaliser
+    it goes straight to the library's model, and so do a word and a mark after it, which the pre-tokeniser parts.
+    Any other piece goes through the library as a whole.
     """
 
     def __init__(self, path: str, width: int | None = None):
@@ -165,30 +184,28 @@ class PieceTokenizer:
 
         self.lib = Tokenizer.from_file(path)
         self.width = width or (2 if self.lib.get_vocab_size() <= 1 << 16 else 4)
-        self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def _parts(piece: str) -> tuple[str, str]:
-        """A word and the mark after it, which the pre-tokeniser parts too; ASCII letters in lower case, as the normaliser has them."""
-        stem, mark = (piece[:-1], piece[-1]) if piece[-1:] in (".", ",", "!", "?", ";", ":") and piece[:-1].isalpha() else (piece, "")
-        return (stem.lower() if stem.isascii() and stem.isalpha() else stem), mark
+        self.letters = _byte_letters()
+        self.normalise, self.model = self.lib.normalizer.normalize_str, self.lib.model.tokenize
+        self.known = _Known(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        if len(piece) > 1 and piece[-1] in ".,!?;:" and piece[:-1].isalpha():
+            return self.known[piece[:-1]] + self.known[piece[-1]]
+        if piece.isalpha():
+            word = piece.lower() if piece.isascii() else self.normalise(piece)
+            if word != piece:
+                if word.isalpha():
+                    return self.known[word]
+            elif word.isalpha():
+                ids = [t.id for t in self.model(word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode())))]
+                return np.array(ids, dtype=f"<u{self.width}").tobytes()
+        return np.array(self.lib.encode(piece, add_special_tokens=False).ids, dtype=f"<u{self.width}").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        new = list(set(itertools.chain.from_iterable(split)).difference(self.known))
-        if len(self.known) + len(new) > KEPT_PIECES:
-            self.known = {}
-            new = list(set(itertools.chain.from_iterable(split)))
-        parts = [self._parts(p) for p in new]
-        need = list({x for pair in parts for x in pair}.difference(self.known))
-        for k in range(0, len(need), 20_000):
-            some = need[k : k + 20_000]
-            for piece, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[piece] = np.array(e.ids, dtype=f"<u{self.width}").tobytes()
-        for piece, (stem, mark) in zip(new, parts):
-            if piece != stem:
-                self.known[piece] = self.known[stem] + self.known[mark]
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+        if len(self.known) > KEPT_PIECES:
+            self.known = _Known(self._piece)
+        get = self.known.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 _TOKENIZERS: dict[str, PieceTokenizer] = {}

@@ -56,6 +56,7 @@ class Bags:
         each = [c if len(c) else np.array([codes["⏎"]]) for c in each]  # an empty text is one sentence without words
         flat = np.concatenate(each)
         ends = (flat & 1).astype(bool)
+        ends[:-1] &= flat[1:] != codes["⏎"]  # a line's end closes the sentence before it, not an empty one
         ends[np.cumsum([len(c) for c in each]) - 1] = True
         self.bounds = np.append(0, np.flatnonzero(ends)[:-1] + 1)
         doc = np.repeat(np.arange(len(each)), [len(c) for c in each])
