@@ -30,7 +30,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = _util.cut(small, "edges")
+        last, edges = edges, _util.cut(small, "edges")
+        _util.drop(last)
         if (now := _mark(edges)) == mark:
             break
         mark = now

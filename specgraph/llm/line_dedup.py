@@ -87,8 +87,8 @@ def prefixes(lines: DataFrame, threshold: float) -> DataFrame:
     return sets.select("doc_id", "line_no", "n", "bits", F.posexplode("first").alias("at", "token"))
 
 
-def similar_pairs(lines: DataFrame, threshold: float) -> DataFrame:
-    """(a_doc, a_line, b_doc, b_line): distinct lines with a Jaccard similarity of ``threshold`` or more, the earlier one first."""
+def similar_pairs(lines: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(candidates, as a cut table; those verified): a_doc, a_line, b_doc, b_line of distinct lines with a Jaccard similarity of ``threshold`` or more, the earlier one first."""
     p = prefixes(lines, threshold)
     a, b = p.alias("a"), p.alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
@@ -101,6 +101,10 @@ def similar_pairs(lines: DataFrame, threshold: float) -> DataFrame:
     cand = cand.select(F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line"), F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line")).distinct()
     cand = _util.cut(cand, "line-pairs")
     _util.free_shuffles(lines.sparkSession)
+    return cand, _verified(cand, lines, threshold)
+
+
+def _verified(cand: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     sides = cand
     for s in ("a", "b"):
         sides = sides.join(lines.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line_no").alias(f"{s}_line"), F.col("norm").alias(s)), [f"{s}_doc", f"{s}_line"])
@@ -117,10 +121,14 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     lines = _util.cut(distinct_lines(_util.only(docs, "doc_id", "text").filter("doc_id is not null")), "lines", "zstd")
     _util.free_shuffles(docs.sparkSession)
-    gone = _util.cut(similar_pairs(lines, threshold).select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).distinct(), "gone-lines")
+    cand, pairs = similar_pairs(lines, threshold)
+    gone = _util.cut(pairs.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).distinct(), "gone-lines")
+    _util.drop(cand)
     _util.free_shuffles(docs.sparkSession)
     stay = lines.select("doc_id", "line_no").join(gone, ["doc_id", "line_no"], "left_anti")
-    return stay.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("kept"))
+    kept = _util.cut(stay.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("kept")), "kept-lines")
+    _util.drop(lines, gone)
+    return kept
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
