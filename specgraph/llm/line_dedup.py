@@ -87,8 +87,8 @@ def prefixes(lines: DataFrame, threshold: float) -> DataFrame:
     return sets.select("doc_id", "line_no", "n", "bits", F.posexplode("first").alias("at", "token"))
 
 
-def similar_pairs(lines: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(candidates, as a cut table; those verified): a_doc, a_line, b_doc, b_line of distinct lines with a Jaccard similarity of ``threshold`` or more, the earlier one first."""
+def candidates(lines: DataFrame, threshold: float) -> DataFrame:
+    """(a_doc, a_line, b_doc, b_line, shared): pairs of distinct lines, the earlier one first, that the filters leave, with the number of prefix tokens that they passed at."""
     p = prefixes(lines, threshold)
     a, b = p.alias("a"), p.alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
@@ -98,19 +98,35 @@ def similar_pairs(lines: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
     positional = F.least(na - F.col("a.at"), nb - F.col("b.at")) >= need
     summary = na + nb - F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) >= 2 * need
     cand = a.join(b, (F.col("a.token") == F.col("b.token")) & earlier & length & positional & summary)
-    cand = cand.select(F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line"), F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line")).distinct()
-    cand = _util.cut(cand, "line-pairs")
-    _util.free_shuffles(lines.sparkSession)
-    return cand, _verified(cand, lines, threshold)
+    cand = cand.groupBy(F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line"), F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line")).agg(F.count("*").alias("shared"))
+    return _util.cut(cand, "line-pairs")
 
 
-def _verified(cand: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    sides = cand
+def verified(cand: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, line_no) of the later lines of candidate pairs whose tokens have a Jaccard similarity of ``threshold`` or more."""
+    sides = cand.select("a_doc", "a_line", "b_doc", "b_line")
     for s in ("a", "b"):
         sides = sides.join(lines.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line_no").alias(f"{s}_line"), F.col("norm").alias(s)), [f"{s}_doc", f"{s}_line"])
     x, y = _tokens(F.col("a")), _tokens(F.col("b"))
     both = F.size(F.array_intersect(x, y))
-    return sides.filter(both >= (F.size(x) + F.size(y) - both) * threshold - 1e-9).select("a_doc", "a_line", "b_doc", "b_line")
+    return sides.filter(both >= (F.size(x) + F.size(y) - both) * threshold - 1e-9).select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).distinct()
+
+
+def later_matches(lines: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, line_no) of lines that match an earlier one.
+
+    One match is enough: each line's most promising candidate, that with most prefix tokens in common, is verified first, and the others only where that fails.
+    """
+    key = ["doc_id", "line_no"]
+    cand = candidates(lines, threshold)
+    _util.free_shuffles(lines.sparkSession)
+    best = cand.groupBy("b_doc", "b_line").agg(F.max_by(F.struct("a_doc", "a_line"), F.struct("shared", -F.col("a_doc"), -F.col("a_line"))).alias("a")).select("a.a_doc", "a.a_line", "b_doc", "b_line")
+    first = _util.cut(verified(best, lines, threshold), "gone-lines")
+    _util.free_shuffles(lines.sparkSession)
+    rest = cand.join(first.select(F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line")), ["b_doc", "b_line"], "left_anti")
+    gone = _util.cut(first.unionByName(verified(rest, lines, threshold)).select(*key), "gone-lines")
+    _util.drop(cand, first)
+    return gone
 
 
 def kept_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -121,9 +137,7 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     lines = _util.cut(distinct_lines(_util.only(docs, "doc_id", "text").filter("doc_id is not null")), "lines", "zstd")
     _util.free_shuffles(docs.sparkSession)
-    cand, pairs = similar_pairs(lines, threshold)
-    gone = _util.cut(pairs.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).distinct(), "gone-lines")
-    _util.drop(cand)
+    gone = later_matches(lines, threshold)
     _util.free_shuffles(docs.sparkSession)
     stay = lines.select("doc_id", "line_no").join(gone, ["doc_id", "line_no"], "left_anti")
     kept = _util.cut(stay.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("kept")), "kept-lines")
