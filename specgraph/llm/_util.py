@@ -60,7 +60,7 @@ def free_shuffles(spark: SparkSession) -> None:
     for _ in range(2):  # the second time what the first has let go of
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(1.0)
 
 
 def crc_rest(column: Column, of: int) -> Column:

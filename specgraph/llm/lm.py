@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import _util
 
 #: Characters in a chunk (one longer text makes a chunk of its own).
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 12_000_000
 END, BOS = 1, 2
 #: Cells of the held-out statistics: steps per factor of two in a likelihood ratio, and their number.
 STEPS, CELLS = 8, 512

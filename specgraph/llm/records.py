@@ -28,7 +28,7 @@ from . import _util
 LANE = 256
 GROUP_CHARS = 2_000_000
 #: Whitespace-delimited pieces whose ids a worker remembers.
-KEPT_PIECES = 900_000
+KEPT_PIECES = 700_000
 _HEAD, _HEAD_BYTES = "<qII", 16
 
 
