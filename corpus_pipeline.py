@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept and returns a DataFrame;
 ``run`` writes each stage's result as Parquet to the shared folder and rereads it for the next. All stages but the
-last return the columns of ``documents``. Where texts change, ``n_chars`` is their new length.
+last return the columns of ``documents``. Where texts change, ``n_chars`` is their new length. The stage of line dedup
+keeps documents that lose all lines; ``run`` drops them there, so that of exact copies one document is left.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.keep_clean(docs, model)
 
 
-def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that repeat or nearly repeat an earlier one."""
-    out = line_dedup.dedup_lines(docs)
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, emptied: bool = True) -> DataFrame:
+    """All documents, without the lines that repeat or nearly repeat an earlier one; without ``emptied`` less those that lose all lines."""
+    out = line_dedup.dedup_lines(docs, emptied=emptied)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
@@ -57,6 +58,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _util.read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = _util.cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        how = {"emptied": False} if name == "line_dedup" else {}
+        docs = _util.cut(stage(spark, docs, sf_dir, **how), f"pipeline-{name}")
         _util.free_shuffles(spark)
     return docs

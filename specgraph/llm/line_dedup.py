@@ -145,10 +145,11 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return kept
 
 
-def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = 0.8, emptied: bool = True) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; other columns stay as they are.
 
-    Blank lines and null texts stay. A document of which no line is left keeps its row, with what blank lines it has.
+    Blank lines and null texts stay. A document of which no line is left keeps its row, with what blank lines it has;
+    without ``emptied`` such rows go, and those that had blank lines only stay.
     Rows without an id stay as they are. Rows that repeat an id count as one document: a line number
     stays in all of them if it does in one.
     """
@@ -159,6 +160,10 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     text = F.array_join(F.filter(F.transform(stay, lambda i: F.get(parts, i)), lambda x: x.isNotNull()), "\n")
     joined = docs.join(kept, docs["doc_id"] == kept["__id"], "left")
     new = F.when(F.col("doc_id").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text)
+    if not emptied:
+        left = F.exists(F.coalesce("__kept", F.array().cast("array<int>")), lambda i: F.coalesce(_norm(F.get(parts, i)) != "", F.lit(False)))
+        lost = F.col("doc_id").isNotNull() & (_norm(F.col("text")) != "") & ~left
+        joined = joined.filter(~F.coalesce(lost, F.lit(False)))
     return joined.select(*[new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 

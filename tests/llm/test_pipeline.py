@@ -54,6 +54,21 @@ def test_stages(spark):
             assert {r.doc_id: r.ids_sha256 for r in rows} == want
 
 
+def test_copies_leave_one(spark, tmp_path):
+    import corpus_pipeline
+
+    for t in ("labels", "benchmark"):
+        _util.read(spark, SF, t).write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = _util.read(spark, SF, "documents")
+    long = "\n".join(" ".join(f"plain{k}x{i}" for i in range(9)) for k in range(4))
+    texts = {900000 + i: long for i in range(5)} | {900010 + i: "quite short" for i in range(3)} | {900020: "\n \n", 900021: long.split("\n")[2] + "\nown line of another document here"}
+    more = spark.createDataFrame([(i, t, "en", "planted", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.unionByName(more.select(*[more[c].cast(docs.schema[c].dataType) for c in docs.columns])).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows if r.doc_id >= 900000} == {900000, 900010, 900020, 900021}
+    assert not [r.doc_id for r in rows if r.n_tokens == 0]
+
+
 def test_names():
     spec = importlib.util.spec_from_file_location("entry", TOP / "__spark_entry__.py")
     entry = importlib.util.module_from_spec(spec)
