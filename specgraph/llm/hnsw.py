@@ -2,8 +2,8 @@
 
 Vectors are dealt to shards of bounded size and each shard gets a hierarchical graph. Searches run for many
 queries at once. A query's beam is widened until it reaches below the threshold (so that a group larger
-than the beam is found whole), and all beams of a task until an audit against brute force finds the recall
-sufficient. Pairs found are verified in double precision, counted, and reduced to spanning edges
+than the beam is found whole). The first beam is fixed beforehand, by an audit of sampled queries against brute force
+over all shards; if no beam passes it, all pairs are compared. Pairs found are verified in double precision, counted, and reduced to spanning edges
 within the task, so that a large group never leaves it as pairs. Equal vectors are searched for once.
 """
 
@@ -23,8 +23,9 @@ from .components import components
 SHARD_ROWS, LEAST_SHARDS, TASK_ROWS = 16_384, 4, 16_384
 #: Links per node (twice as many at the bottom), beam while building, first beam of a search, nodes expanded at once.
 LINKS, BUILD_BEAM, FIRST_BEAM, AT_ONCE = 16, 48, 16, 4
-#: Queries of a task that are audited, and the recall that they must reach.
-AUDITED, RECALL = 256, 0.99
+#: Queries audited at first and at most (or all there are), how many must have pairs, the mean recall they must reach, and the beams tried.
+AUDITED, MOST_AUDITED, LEAST_AUDITED, RECALL = 256, 16_384, 100, 0.99
+BEAMS = (FIRST_BEAM, 32, 64, 128, 256, 512)
 #: Queries searched at once, and cells of the table of visited nodes.
 TOGETHER, VISITED = 512, 16_000_000
 
@@ -222,31 +223,85 @@ def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(key[0], key[1], frame["rep"].to_numpy().tobytes(), frame["size"].to_numpy().tobytes(), raw.tobytes(), g.levels.tobytes(), [t.tobytes() for t in g.links])], columns=["dim", "shard", "ids", "sizes", "raw", "levels", "links"])
 
 
-def search(frame: pd.DataFrame, shard: pd.DataFrame, least: float) -> pd.DataFrame:
-    """(node, links, other): counts of the queries' verified links into the shard, and spanning edges of all links."""
-    empty = pd.DataFrame({"node": [], "links": [], "other": []}).astype("int64")
-    if not len(frame) or not len(shard):
-        return empty
+def _opened(shard: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
+    """A shard's ids, class sizes, unit vectors and graph."""
     row = next(shard.itertuples())
     ids, sizes = np.frombuffer(row.ids, dtype=np.int64), np.frombuffer(row.sizes, dtype=np.int64)
     x = unit(np.frombuffer(row.raw, dtype=np.float32).reshape(len(ids), -1))
-    g = Graph(x, np.frombuffer(row.levels, dtype=np.int64), [np.frombuffer(t, dtype=np.int32).reshape(len(ids), -1) for t in row.links])
+    return ids, sizes, x, Graph(x, np.frombuffer(row.levels, dtype=np.int64), [np.frombuffer(t, dtype=np.int32).reshape(len(ids), -1) for t in row.links])
+
+
+def audited(frame: pd.DataFrame, shard: pd.DataFrame, least: float) -> pd.DataFrame:
+    """(rep, beam, true, found, narrow, narrow_found): each query's pairs in the shard, and those that a beam finds; narrow where ``within`` does not widen the beam."""
+    names = ["rep", "beam", "true", "found", "narrow", "narrow_found"]
+    made = [np.zeros((0, 6), np.int64)]
+    if len(frame) and len(shard):
+        ids, _, _, g = _opened(shard)
+        own = frame["rep"].to_numpy()
+        q32 = unit(np.stack(frame["embedding"].to_list()).astype(np.float32)).astype(np.float32)
+        for k in range(0, len(own), TOGETHER):
+            q, me = q32[k : k + TOGETHER], own[k : k + TOGETHER]
+            sims = q @ g.x.T
+            near = (sims >= least) & (me[:, None] != ids[None, :])
+            hits, true = (sims >= least - 1e-5).sum(axis=1), near.sum(axis=1)
+            use = np.flatnonzero(true)
+            found = np.zeros(len(me), np.int64)
+            for beam in BEAMS:
+                todo = use[found[use] < true[use]]  # what a beam finds whole, a wider one does
+                if len(todo):
+                    a, b = g.within(q[todo], least - 1e-5, beam)
+                    found[todo] = np.bincount(a[near[todo[a], b]], minlength=len(todo))
+                narrow = hits[use] < beam
+                made.append(np.stack((me[use], np.full(len(use), beam), true[use], found[use], true[use] * narrow, found[use] * narrow), axis=1))
+    return pd.DataFrame(np.concatenate(made), columns=names).astype("int64")
+
+
+def first_beam(classes: DataFrame, index: DataFrame, n: int, shards: int, least: float) -> tuple[int | None, float | None, int]:
+    """(beam, recall, queries): the first beam whose recall suffices, None where no beam's does; its recall and the queries with pairs that it comes from.
+
+    Recall is averaged over queries, each with its pairs in all shards, and must suffice for all pairs and again for those
+    without the groups that widen a beam anyway. An audit in which too few queries have such pairs is repeated with more queries, and does not
+    pass unless all vectors are audited.
+    """
+
+    def each(q: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        return audited(q, shard, least)
+
+    k = AUDITED
+    while True:
+        sample = classes.filter(F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(n)) < k) if k < n else classes
+        sample = sample.select("dim", "rep", "embedding", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+        keys, sums = ["dim", "shard"], ["true", "found", "narrow", "narrow_found"]
+        rows = sample.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(each, "rep long, beam long, true long, found long, narrow long, narrow_found long")
+        rows = rows.groupBy("rep", "beam").agg(*[F.sum(c).alias(c) for c in sums])
+        rate = F.avg(F.col("found") / F.col("true")), F.avg(F.when(F.col("narrow") > 0, F.col("narrow_found") / F.col("narrow")))
+        got = {r.beam: r for r in rows.groupBy("beam").agg(rate[0].alias("every"), rate[1].alias("small"), F.count("*").alias("m"), F.count(F.when(F.col("narrow") > 0, 1)).alias("few")).collect()}
+        if not got and k >= n:
+            return FIRST_BEAM, None, 0  # there are no pairs
+        for beam in BEAMS:
+            r = got.get(beam)
+            if r and (k >= n or r.few >= LEAST_AUDITED) and min(r.every, 1.0 if r.small is None else r.small) >= RECALL:
+                return beam, min(r.every, 1.0 if r.small is None else r.small), r.m
+        enough = any(r.few >= LEAST_AUDITED for r in got.values())
+        if enough or k >= min(n, MOST_AUDITED):
+            return None, None, max((r.m for r in got.values()), default=0)
+        k *= 8
+
+
+def search(frame: pd.DataFrame, shard: pd.DataFrame, least: float, beam: int | None) -> pd.DataFrame:
+    """(node, links, other): counts of the queries' verified links into the shard, and spanning edges of all links; without a beam all pairs are compared."""
+    empty = pd.DataFrame({"node": [], "links": [], "other": []}).astype("int64")
+    if not len(frame) or not len(shard):
+        return empty
+    ids, sizes, x, g = _opened(shard)
     own = frame["rep"].to_numpy()
     q = unit(np.stack(frame["embedding"].to_list()).astype(np.float32))
     q32, slack = q.astype(np.float32), least - 1e-5  # single precision finds, double precision decides
-    audit = np.random.default_rng(3).permutation(len(q))[:AUDITED]
-    truth = np.stack(np.nonzero((q32[audit] @ g.x.T >= least) & (own[audit][:, None] != ids[None, :])))
-    truth = set(zip(audit[truth[0]].tolist(), truth[1].tolist()))
-    beam = FIRST_BEAM
-    while truth and beam < len(ids):
-        a, b = g.within(q32[audit], slack, beam)
-        if len(truth.intersection(zip(audit[a].tolist(), b.tolist()))) >= RECALL * len(truth):
-            break
-        beam *= 2
     counts, edges = np.zeros(len(own), dtype=np.int64), []
-    for k in range(0, len(q), 4 * TOGETHER):
-        a, b = g.within(q32[k : k + 4 * TOGETHER], slack, beam)
-        a += k
+    step = 4 * TOGETHER if beam else TOGETHER
+    for k in range(0, len(q), step):
+        a, b = g.within(q32[k : k + step], slack, beam) if beam else np.nonzero(q32[k : k + step] @ g.x.T >= slack)
+        a = a + k
         other = own[a] != ids[b]
         a, b = a[other], b[other]
         sure = np.zeros(len(a), dtype=bool)
@@ -281,11 +336,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id: str = "vec_id",
     shards, groups = max(LEAST_SHARDS, math.ceil(n / SHARD_ROWS)), max(1, math.ceil(n / TASK_ROWS))
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
     index = _util.cut(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, ids binary, sizes binary, raw binary, levels binary, links array<binary>"), "graphs")
+    beam = first_beam(classes, index, n, shards, least)[0]
     left = classes.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(groups)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     right = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def each(q: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        return search(q, shard, least)
+        return search(q, shard, least, beam)
 
     keys = ["dim", "shard", "part"]
     found = _util.cut(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(each, "node bigint, links bigint, other bigint"), "vector-links")
