@@ -22,8 +22,8 @@ def _groups(s, d):
     return load(s, d, "part").groupBy(F.concat(F.lit("group "), "p_brand").alias("name")).agg(F.collect_list(F.concat(F.lit("part_"), "p_partkey")).alias("members"))
 
 
-def _ev_cases(s, d):
-    e = load(s, d, "events").filter("user_id < 20")
+def _ev_cases(s, d, who="user_id < 20"):
+    e = load(s, d, "events").filter(who)
     steps = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: F.initcap(x["event_type"]))
     return T.transitions(e.groupBy(F.col("user_id").cast("string").alias("tc_id")).agg(steps.alias("steps")))
 
@@ -49,6 +49,9 @@ QUERIES = {
     "jn26_collapse": lambda s, d: C.collapse(load(s, d, "g_edges").filter("rel_type = 'PRODUCES'"), _groups(s, d)),
     "jn22_step_nodes": lambda s, d: C.step_nodes(_ev_cases(s, d), _ev_nodes(s, d)),
     "agg17_path_validity": lambda s, d: C.path_validity(C.step_nodes(_ev_cases(s, d), _ev_nodes(s, d)), _ev_edges(s, d)),
+    # The same over all users; the SQL twins read the users below 20.
+    "jn22_step_nodes_whole": lambda s, d: C.step_nodes(_ev_cases(s, d, "user_id IS NOT NULL"), _ev_nodes(s, d)),
+    "agg17_path_validity_whole": lambda s, d: C.path_validity(C.step_nodes(_ev_cases(s, d, "user_id IS NOT NULL"), _ev_nodes(s, d)), _ev_edges(s, d)),
     "agg12_workflow_quality": lambda s, d: C.workflow_quality(_steps(s, d), load(s, d, "g_edges").filter("rel_type = 'LEADS_TO'")),
     "agg09_chunk_patterns": lambda s, d: C.chunk_patterns(load(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat_ws(" ", F.concat(F.lit("NFR-"), F.lpad("o_custkey", 4, "0"), F.lit(":")), F.when(F.col("o_orderkey") % 2 == 0, F.lit("br-001 uc-123: x"))).alias("text"))),
     "win11_win07_labelled_items": lambda s, d: C.labelled_items(_lines(s, d)),
