@@ -43,19 +43,19 @@ se AS (SELECT de.*, greatest(0, least(1, round(CAST(0.5 + CASE WHEN de.occ <= 1
 FROM de LEFT JOIN sn a ON a.node_id = de.src_id LEFT JOIN sn b ON b.node_id = de.dst_id LEFT JOIN (SELECT DISTINCT src_id, dst_id, rel_type, f FROM de1 WHERE f <> src_id) x ON x.src_id = de.dst_id AND x.dst_id = de.src_id AND x.rel_type = de.rel_type)"""
 
 
-def _dedup(s, d):
-    return C.dedup_nodes(load(s, d, "raw_nodes")), C.dedup_edges(load(s, d, "raw_edges"))
+def _dedup(s, d, edges="raw_edges"):
+    return C.dedup_nodes(load(s, d, "raw_nodes")), C.dedup_edges(load(s, d, edges))
 
 
-def _scored(s, d):
-    raw_n, raw_e = load(s, d, "raw_nodes"), load(s, d, "raw_edges")
+def _scored(s, d, edges="raw_edges"):
+    raw_n, raw_e = load(s, d, "raw_nodes"), load(s, d, edges)
     n = C.score_nodes(C.dedup_nodes(raw_n), C.type_conflicts(raw_n))
     linked = s.createDataFrame([("REQ-1",), ("REQ-2",)], "source string")
     return n, C.score_edges(C.dedup_edges(raw_e), n, C.direction_conflicts(raw_e), linked)
 
 
-def _checked(s, d):
-    n, e = _dedup(s, d)
+def _checked(s, d, edges="raw_edges"):
+    n, e = _dedup(s, d, edges)
     return C.check_edges(e, C.check_nodes(n).filter(F.size("reasons") == 0))
 
 
@@ -72,6 +72,15 @@ QUERIES = {
     "jn11_node_confidence": lambda s, d: _scored(s, d)[0].select("node_id", "confidence"),
     "jn11_edge_confidence": lambda s, d: _scored(s, d)[1].select("src_id", "dst_id", "rel_type", "confidence"),
     "agg06_confidence_summary": lambda s, d: C.confidence_summary(*_scored(s, d)),
+    # The same over every row of lineitem; the SQL twins read a part of them.
+    "prj02_normalize_relation_whole": lambda s, d: load(s, d, "raw_edges_whole").select("ord", "rel_type", normalize_relation(F.col("rel_type")).alias("normal")),
+    "win03_agg03_dedup_edges_whole": lambda s, d: _dedup(s, d, "raw_edges_whole")[1].select("src_id", "dst_id", "rel_type", "source", "ord", "occ"),
+    "win03_direction_conflicts_whole": lambda s, d: C.direction_conflicts(load(s, d, "raw_edges_whole")),
+    "prj05_prj06_jn15_check_edges_whole": lambda s, d: _checked(s, d, "raw_edges_whole").select("src_id", "dst_id", "rel_type", "ord", F.concat_ws("; ", "reasons").alias("reasons")),
+    "prj06_validation_counts_whole": lambda s, d: _checked(s, d, "raw_edges_whole").groupBy(F.concat_ws("; ", "reasons").alias("reasons")).agg(F.count("*").alias("n")),
+    "jn11_node_confidence_whole": lambda s, d: _scored(s, d, "raw_edges_whole")[0].select("node_id", "confidence"),
+    "jn11_edge_confidence_whole": lambda s, d: _scored(s, d, "raw_edges_whole")[1].select("src_id", "dst_id", "rel_type", "confidence"),
+    "agg06_confidence_summary_whole": lambda s, d: C.confidence_summary(*_scored(s, d, "raw_edges_whole")),
 }
 
 _N, _E, _B = cte("raw_nodes"), cte("raw_edges"), cte("raw_nodes", "raw_edges")
