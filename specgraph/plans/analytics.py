@@ -18,8 +18,8 @@ def _g(s, d):
     return load(s, d, "g_nodes"), load(s, d, "g_edges")
 
 
-def _customers(s, d):
-    return load(s, d, "customer").filter("c_custkey % 100 = 1").select(F.concat(F.lit("customer_"), "c_custkey").alias("node_id"))
+def _customers(s, d, which="c_custkey % 100 = 1"):
+    return load(s, d, "customer").filter(which).select(F.concat(F.lit("customer_"), "c_custkey").alias("node_id"))
 
 
 def _roles(s, d):
@@ -48,6 +48,9 @@ QUERIES = {
     "jn02_induced": lambda s, d: A.induced(load(s, d, "g_edges"), load(s, d, "g_nodes").filter("node_type IN ('Country', 'Location', 'SystemComponent')")),
     "jn03_expand": lambda s, d: A.neighbours(load(s, d, "g_edges"), _customers(s, d)).filter("depth > 0"),
     "jn04_khop": lambda s, d: A.neighbours(load(s, d, "g_edges"), _customers(s, d), 3, "out"),
+    # The same from all customers; the SQL twins start at one in a hundred.
+    "jn03_expand_whole": lambda s, d: A.neighbours(load(s, d, "g_edges"), _customers(s, d, "c_custkey IS NOT NULL")).filter("depth > 0"),
+    "jn04_khop_whole": lambda s, d: A.neighbours(load(s, d, "g_edges"), _customers(s, d, "c_custkey IS NOT NULL"), 3, "out"),
     "jn04_khop_in": lambda s, d: A.neighbours(load(s, d, "g_edges").filter("rel_type <> 'USES'"), load(s, d, "g_nodes").filter("node_type = 'Location'"), 2, "in"),
     "gr02_flow_edges": lambda s, d: A.flow_edges(*_g(s, d)),
     "gr03_entries": lambda s, d: A.entries(load(s, d, "g_nodes"), A.flow_edges(*_g(s, d))),

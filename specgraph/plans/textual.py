@@ -53,9 +53,9 @@ def _blocks(s, d):
     return B.text_blocks(_docs(s, d))
 
 
-def _facts(s, d):
+def _facts(s, d, which="s_suppkey <= 60"):
     n = load(s, d, "nation")
-    f = load(s, d, "supplier").filter("s_suppkey <= 60").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    f = load(s, d, "supplier").filter(which).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     return f.select(F.col("s_suppkey").alias("fact_id"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("the "), "n_name")).when(F.col("s_suppkey") % 3 == 1, F.lit("nobody at all")).otherwise(F.col("n_name")).alias("subject"), F.when(F.col("s_suppkey") % 5 == 0, F.lit("zz yy")).otherwise(F.concat(F.lit("REGION "), (F.col("n_regionkey")).cast("string"))).alias("object"))
 
 
@@ -89,6 +89,11 @@ QUERIES = {
     "txt06_text_facts": lambda s, d: E.text_facts(load(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("System part shall use "), "p_name", F.lit(". "), F.col("p_type"), F.lit(" with four plain words here! Short.")).alias("text"))),
     "jn12_match_facts": lambda s, d: E.match_facts(_facts(s, d), *_fact_graph(s, d)),
     "agg10_retention": lambda s, d: E.retention(E.match_facts(_facts(s, d), *_fact_graph(s, d))),
+    # The same over all suppliers, links and edges; the SQL twins read a part of them.
+    "jn12_match_facts_whole": lambda s, d: E.match_facts(_facts(s, d, "s_suppkey IS NOT NULL"), *_fact_graph(s, d)),
+    "agg10_retention_whole": lambda s, d: E.retention(E.match_facts(_facts(s, d, "s_suppkey IS NOT NULL"), *_fact_graph(s, d))),
+    "prj25_priorities_whole": lambda s, d: T.priorities(_items(s, d), _link(s, d)[0]),
+    "prj26_phrases_whole": lambda s, d: load(s, d, "g_edges").join(load(s, d, "g_nodes").withColumnRenamed("node_id", "dst_id"), "dst_id").select("src_id", "dst_id", "rel_type", T.phrase(F.col("rel_type"), F.col("name"), F.col("node_type")).alias("step")),
     "agg05_set02_sequence_scores": lambda s, d: E.sequence_scores(load(s, d, "ver_b_edges"), load(s, d, "ver_a_edges")),
     "agg11_relationship_quality": lambda s, d: E.relationship_quality(load(s, d, "ver_b_nodes"), load(s, d, "ver_a_edges").withColumn("rel_type", F.when(F.length("dst_id") % 2 == 0, "ODD").otherwise(F.col("rel_type"))), O.RELATIONS),
     "agg14_overall": lambda s, d: load(s, d, "region").select("r_regionkey", E.overall(F.col("r_regionkey") / 10, F.lit(0.5), F.lit(0.25), F.lit(1.0)).alias("with_facts"), E.overall(None, F.col("r_regionkey") / 10, F.lit(0.25), F.lit(1.0)).alias("without")),
