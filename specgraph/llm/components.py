@@ -35,4 +35,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if (now := _mark(edges)) == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components have not converged in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

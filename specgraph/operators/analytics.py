@@ -45,6 +45,8 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
         label = new.select("node_id", "component")
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components have not converged in {rounds} rounds")
     return label
 
 
