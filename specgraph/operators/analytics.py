@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import ontology as O
-from ..sources.shared import cut
+from ..sources.shared import cut, drop
 
 
 def type_counts(df: DataFrame, kind: str) -> DataFrame:
@@ -30,24 +30,31 @@ def hubs(degree: DataFrame, ratio: float = 0.15) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node_id, component): the smallest id reachable without regard to direction. Labels spread along edges and jump along labels until none changes."""
+    """(node_id, component): the smallest id reachable without regard to direction.
+
+    Large-star and small-star steps in turn: every node's larger neighbours are linked to the smallest that it knows, then what remains smaller likewise, until
+    the edges are stars around the smallest nodes. A step has as many edges as the one before at most, and a node's minimum is summed up before the shuffle.
+    """
     ids = nodes.select("node_id").distinct()
-    e = edges.select("src_id", "dst_id").filter("src_id != dst_id").distinct()
-    both = e.unionByName(e.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))).distinct()
-    both = cut(both.join(ids.withColumnRenamed("node_id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("node_id", "dst_id"), "dst_id", "left_semi"), "adjacency")
-    label = cut(ids.withColumn("component", F.col("node_id")), "labels")
+    known = induced(edges.select("src_id", "dst_id"), ids)
+    e = cut(known.select(F.greatest("src_id", "dst_id").alias("a"), F.least("src_id", "dst_id").alias("b")).filter("a != b").distinct(), "links")
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    was = mark(e)
     for _ in range(rounds):
-        near = both.join(label.select(F.col("node_id").alias("dst_id"), "component"), "dst_id").groupBy(F.col("src_id").alias("node_id")).agg(F.min("component").alias("near"))
-        new = label.join(near, "node_id", "left").select("node_id", F.least("component", F.coalesce("near", "component")).alias("next"), F.col("component").alias("old"))
-        jump = new.select(F.col("node_id").alias("next"), F.col("next").alias("further"))
-        new = cut(new.join(jump, "next", "left").select("node_id", F.least("next", F.coalesce("further", "next")).alias("component"), "old"), "labels")
-        changed = new.filter("component != old").limit(1).count()
-        label = new.select("node_id", "component")
-        if not changed:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        last, e = e, cut(small, "links")
+        drop(last)
+        now = mark(e)
+        if now == was:
             break
+        was = now
     else:
         raise RuntimeError(f"components have not converged in {rounds} rounds")
-    return label
+    return ids.join(e.select(F.col("a").alias("node_id"), F.col("b").alias("component")), "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 1, direction: str = "all") -> DataFrame:
@@ -62,6 +69,8 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 1, direction: str
     for k in range(1, hops + 1):
         step = e.join(front.select(F.col("node_id").alias("src_id")), "src_id").select(F.col("dst_id").alias("node_id")).distinct()
         front = step.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(k))
+        if hops > 1:  # else each hop would find those before it anew
+            front = cut(front, "hop")
         seen = seen.unionByName(front)
     return seen
 

@@ -9,10 +9,18 @@ from pyspark.sql.window import Window as W
 from ..functions import ontology as O
 from .analytics import components, reach
 
-# Patterns that chunks of each kind begin with.
+# What chunks of each kind begin with, whatever the case.
 CHUNK_PATTERNS = {
-    "FR": r"(?:FR|F)-?\d{3,}:", "NFR": r"(?:NFR|NR|NF)-?\d{3,}:", "BR": r"(?:BR|BRD|BU)-?\d{3,}", "TC": r"(?:TC|TEST|TS)-?\d{3,}:", "UC": r"(?:UC|USE)-?\d{3,}:",
-}
+    "FR": r"(?:FR|F)-?\d{3,}:",
+    "NFR": r"(?:NFR|NR|NF)-?\d{3,}:",
+    "BR": r"(?:BR|BRD|BU)-?\d{3,}",
+    "TC": r"(?:TC|TEST|TS)-?\d{3,}:",
+    "UC": r"(?:UC|USE)-?\d{3,}:",
+    "US_NUMBERED": r"(?:US|UST)-?\d{3,}:",
+    "US_PROSE": r"(?:User Story|Story)\s+\d+:",
+    "REQ": r"(?:REQ|RQ|R)-?\d{3,}:",
+    "NUMBERED_SECTION": r"\d+\.\d+(?:\.\d+)?\s+[A-Z][^\n]*\n",
+}
 
 
 def clean(c: Column) -> Column:
@@ -88,6 +96,12 @@ def chunk_patterns(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.pattern", "x.n").filter("n > 0")
 
 
+def chunk_strategy(docs: DataFrame) -> DataFrame:
+    """(doc_id, patterns, strategy): how many chunk starts a text has, and whether it is cut at these (pattern-based) or by size (semantic-fallback)."""
+    n = chunk_patterns(docs).groupBy("doc_id").agg(F.sum("n").cast("bigint").alias("patterns"))
+    return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("patterns", F.lit(0)).cast("bigint").alias("patterns"), F.when(F.col("patterns") > 0, "pattern-based").otherwise("semantic-fallback").alias("strategy"))
+
+
 def labelled_items(lines: DataFrame) -> DataFrame:
     """(doc_id, item_id, title, content) of lines (doc_id, line_no, line): from one ``Title:`` line to the next; ids count from GEN-001 in each document."""
     w = W.partitionBy("doc_id").orderBy("line_no")

@@ -138,11 +138,17 @@ def content_words(c: Column) -> Column:
 
 
 def grounding(tcs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(tc_id, step_no, grounded): whether a step has no content words or shares one with the nodes' names."""
-    vocab = nodes.select(F.explode(content_words(F.col("name"))).alias("w")).distinct().withColumn("known", F.lit(True))
-    steps = tcs.select("tc_id", F.posexplode("steps").alias("step_no", "step")).withColumn("ws", content_words(F.col("step")))
-    hit = steps.select("tc_id", "step_no", F.explode("ws").alias("w")).join(vocab, "w", "left_semi").select("tc_id", "step_no").distinct().withColumn("hit", F.lit(True))
-    return steps.join(hit, ["tc_id", "step_no"], "left").select("tc_id", "step_no", ((F.size("ws") == 0) | F.col("hit").isNotNull()).alias("grounded"))
+    """(tc_id, step_no, grounded): whether a step has no content words, shares one with the nodes' names, or contains a name or word of four letters or more.
+
+    Steps that share no word meet the distinct terms text by text; the terms are to be those of one document's graph.
+    """
+    words = nodes.select(F.explode(content_words(F.col("name"))).alias("w")).distinct()
+    terms = words.unionByName(nodes.select(F.lower(F.trim("name")).alias("w"))).filter(F.length("w") >= 4).distinct()
+    steps = tcs.select("tc_id", F.posexplode("steps").alias("step_no", "step")).select("tc_id", "step_no", F.lower("step").alias("step"), content_words(F.col("step")).alias("ws"))
+    hit = steps.select("tc_id", "step_no", F.explode("ws").alias("w")).join(words, "w", "left_semi").select("tc_id", "step_no").distinct().withColumn("hit", F.lit(True))
+    marked = steps.join(hit, ["tc_id", "step_no"], "left")
+    told = marked.filter(F.col("hit").isNull() & (F.size("ws") > 0)).select("step").distinct().join(terms, F.contains(F.col("step"), F.col("w")), "left_semi").withColumn("told", F.lit(True))
+    return marked.join(told, "step", "left").select("tc_id", "step_no", ((F.size("ws") == 0) | F.col("hit").isNotNull() | F.col("told").isNotNull()).alias("grounded"))
 
 
 def validates_edges(tcs: DataFrame, nodes: DataFrame) -> DataFrame:

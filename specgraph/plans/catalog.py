@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, cleaning, context, flows, storage, textual
+from . import analytics, cleaning, context, extraction, features, flows, storage, textual
 
-MODULES = (cleaning, analytics, storage, textual, flows, context)
+MODULES = (cleaning, analytics, storage, textual, flows, context, extraction, features)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in m.SQL.items()}

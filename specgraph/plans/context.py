@@ -41,6 +41,13 @@ def _lines(s, d):
     return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("line_no"), F.when(F.col("turn") % 3 == 1, F.concat(F.lit(" Title: "), "text")).otherwise(F.col("text")).alias("line"))
 
 
+
+def _chunk_texts(s, d):
+    k, nl = F.col("o_orderkey"), chr(10)
+    part = lambda n, text: F.when(k % n == 0, text)
+    return load(s, d, "orders").select(k.alias("doc_id"), F.concat_ws(" ", part(2, F.concat(F.lit("NFR-"), F.lpad("o_custkey", 4, "0"), F.lit(":"))), part(3, F.lit("br-001 uc-123: x")), part(5, F.lit("US-100: then Story 7: told")), part(7, F.lit(f"req9999: TS-123:{nl}1.2 Scope of it{nl}2.3.1 more{nl}"))).alias("text"))
+
+
 QUERIES = {
     "jn17_supporting": lambda s, d: C.supporting(load(s, d, "g_nodes").filter("node_type = 'Actor'"), load(s, d, "g_edges"), R.classify_nodes(load(s, d, "g_nodes"))),
     "jn18_set03_items_without_nodes": lambda s, d: C.without_nodes(load(s, d, "items_v").select("item_id"), load(s, d, "part").select(F.concat(F.lit("BR-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("source"))),
@@ -53,13 +60,20 @@ QUERIES = {
     "jn22_step_nodes_whole": lambda s, d: C.step_nodes(_ev_cases(s, d, "user_id IS NOT NULL"), _ev_nodes(s, d)),
     "agg17_path_validity_whole": lambda s, d: C.path_validity(C.step_nodes(_ev_cases(s, d, "user_id IS NOT NULL"), _ev_nodes(s, d)), _ev_edges(s, d)),
     "agg12_workflow_quality": lambda s, d: C.workflow_quality(_steps(s, d), load(s, d, "g_edges").filter("rel_type = 'LEADS_TO'")),
-    "agg09_chunk_patterns": lambda s, d: C.chunk_patterns(load(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat_ws(" ", F.concat(F.lit("NFR-"), F.lpad("o_custkey", 4, "0"), F.lit(":")), F.when(F.col("o_orderkey") % 2 == 0, F.lit("br-001 uc-123: x"))).alias("text"))),
+    "agg09_chunk_patterns": lambda s, d: C.chunk_patterns(_chunk_texts(s, d)),
+    "agg09_strategy": lambda s, d: C.chunk_strategy(_chunk_texts(s, d)),
     "win11_win07_labelled_items": lambda s, d: C.labelled_items(_lines(s, d)),
     "win12_without_repeats": lambda s, d: C.without_repeats(_steps(s, d)),
     "prj13_item_checks": lambda s, d: C.item_checks(load(s, d, "part").select(F.lit(1).alias("doc_id"), F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("FR-"), F.lpad((F.col("p_partkey") % 40).cast("string"), 3, "0"))).when(F.col("p_partkey") % 5 == 1, F.concat(F.lit("GEN-"), "p_partkey")).otherwise(F.concat(F.lit("item "), "p_partkey")).alias("item_id"), (F.col("p_size") > 10).alias("native"), F.when(F.col("p_size") % 7 > 0, F.col("p_type")).alias("content"), F.col("p_partkey").alias("ord"))).select("ord", F.array_join("reasons", "; ").alias("reasons")),
 }
 _G = cte("g_nodes", "g_edges")
 _EV = "s AS (SELECT user_id::VARCHAR AS tc_id, CAST(row_number() OVER w - 1 AS INT) AS pos, event_type AS a, lead(event_type) OVER w AS b FROM events WHERE user_id < 20 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
+_CHUNKS = (
+    "WITH t AS (SELECT o_orderkey AS doc_id, concat_ws(' ', CASE WHEN o_orderkey % 2 = 0 THEN 'NFR-' || lpad(CAST(o_custkey AS VARCHAR), 4, '0') || ':' END, CASE WHEN o_orderkey % 3 = 0 THEN 'br-001 uc-123: x' END, CASE WHEN o_orderkey % 5 = 0 THEN 'US-100: then Story 7: told' END, "
+    "CASE WHEN o_orderkey % 7 = 0 THEN 'req9999: TS-123:' || chr(10) || '1.2 Scope of it' || chr(10) || '2.3.1 more' || chr(10) END) AS text FROM orders), c AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS pattern, len(regexp_extract_all(text, '(?is){p}')) AS n FROM t" for k, p in C.CHUNK_PATTERNS.items()) + ")"
+)
+
 SQL = {
     "jn17_supporting": f"{_G} SELECT DISTINCT src_id AS step_id, dst_id AS node_id, rel_type, 'other' AS role FROM g_edges WHERE rel_type = 'ASSOCIATED_WITH' AND src_id LIKE 'customer%'",
     "jn18_set03_items_without_nodes": f"{cte('items_v')} SELECT item_id FROM items_v WHERE family = 'FR'",
@@ -68,7 +82,8 @@ SQL = {
     "jn22_step_nodes": f"WITH {_EV} SELECT tc_id, pos, upper(a[1]) || a[2:] AS step, upper(b[1]) || b[2:] AS next, 'n_' || a AS src_id, 'n_' || b AS dst_id FROM s WHERE b IS NOT NULL",
     "agg17_path_validity": f"WITH {_EV}, k AS (SELECT count(*) AS checked, count(*) FILTER (WHERE a < b) AS valid FROM s WHERE b IS NOT NULL) SELECT checked, valid, round(valid * 100 / checked, 1) AS pct FROM k",
     "agg12_workflow_quality": f"{cte('g_edges')}, s AS (SELECT concat('order_', o_orderkey) AS a, concat('order_', lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)) AS b, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS h FROM orders), l AS (SELECT * FROM g_edges WHERE rel_type = 'LEADS_TO'), k AS (SELECT count(*) AS transitions, count(*) FILTER (WHERE (a, b) IN (SELECT (src_id, dst_id) FROM l)) AS joined FROM s WHERE h IS NOT NULL) SELECT transitions, joined, (SELECT count(*) FROM s WHERE a NOT IN (SELECT src_id FROM l UNION SELECT dst_id FROM l)) AS orphans, round(joined / transitions, 4) AS accuracy FROM k",
-    "agg09_chunk_patterns": "SELECT o_orderkey AS doc_id, unnest(['FR', 'NFR']) AS pattern, 1 AS n FROM orders UNION ALL SELECT o_orderkey, unnest(['BR', 'UC']), 1 FROM orders WHERE o_orderkey % 2 = 0",
+    "agg09_chunk_patterns": f"{_CHUNKS} SELECT doc_id, pattern, CAST(n AS INT) AS n FROM c WHERE n > 0",
+    "agg09_strategy": f"{_CHUNKS} SELECT doc_id, CAST(sum(n) AS BIGINT) AS patterns, CASE WHEN sum(n) > 0 THEN 'pattern-based' ELSE 'semantic-fallback' END AS strategy FROM c GROUP BY doc_id",
     "win11_win07_labelled_items": "WITH l AS (SELECT conv_id, turn, text, turn % 3 = 1 AS t, count(*) FILTER (WHERE turn % 3 = 1) OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) SELECT conv_id AS doc_id, 'GEN-' || lpad(k::VARCHAR, 3, '0') AS item_id, max(CASE WHEN t THEN text END) AS title, string_agg(CASE WHEN t THEN ' Title: ' || text ELSE text END, chr(10) ORDER BY turn) AS content FROM l WHERE k > 0 GROUP BY conv_id, k",
     "win12_without_repeats": "SELECT flow, pos, node_id, name FROM (SELECT o_custkey AS flow, o_orderkey AS pos, concat('order_', o_orderkey) AS node_id, o_orderstatus AS name, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders) t WHERE p IS NULL OR p <> name",
     "prj13_item_checks": "WITH i AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 5 = 0 THEN 'FR-' || lpad((p_partkey % 40)::VARCHAR, 3, '0') WHEN p_partkey % 5 = 1 THEN 'GEN-' || p_partkey ELSE 'item ' || p_partkey END AS id, p_size > 10 AS native, CASE WHEN p_size % 7 > 0 THEN p_type END AS c FROM part) SELECT ord, concat_ws('; ', CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate id' END, CASE WHEN NOT native THEN 'foreign family' END, CASE WHEN length(trim(coalesce(c, ''))) < 10 THEN 'short content' END, CASE WHEN id LIKE 'item%' THEN 'no known id' END) AS reasons FROM i",

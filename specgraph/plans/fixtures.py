@@ -56,6 +56,14 @@ UNION ALL SELECT concat('BR-', lpad(CAST(p_partkey AS VARCHAR(20)), 6, '0')), 'B
     # Old and new vectors; test cases of conversations.
     "vec_old": "SELECT vec_id AS id, embedding AS vector, label FROM embeddings WHERE vec_id % 2 = 0",
     "vec_new": "SELECT vec_id AS id, embedding AS vector, label FROM embeddings WHERE vec_id % 2 = 1",
+    # Short texts of every kind that extraction tells apart.
+    "notes": """
+SELECT CAST(o_orderkey AS BIGINT) AS note_id, CASE CAST(o_orderkey % 13 AS INT) WHEN 0 THEN concat('Page ', o_custkey, ' of ', o_orderkey) WHEN 1 THEN 'Version  History' WHEN 2 THEN 'Version 1.2 reviewed by somebody, author unknown' WHEN 3 THEN concat('1) Open the order ', o_orderkey, ' and look at the total price')
+WHEN 4 THEN concat('The customer shall submit order ', o_orderkey, ' before the end') WHEN 5 THEN 'Glossary of terms: first, the order, then the part of it' WHEN 6 THEN concat('Forvis Mazars ', o_custkey) WHEN 7 THEN concat('change description of the last version ', o_orderkey)
+WHEN 8 THEN concat('order ', o_orderkey, ' -> warehouse -> carrier -> customer, whoever that is') WHEN 9 THEN concat('  ', o_orderpriority, '  ') WHEN 10 THEN concat('Order with the version ', o_orderkey, ' of priority ', o_orderpriority, ' to be shipped') WHEN 11 THEN NULL ELSE concat('Priority ', o_orderpriority, ' and availability of what order ', o_orderkey, ' needs next') END AS text FROM orders""",
+    # Branching flows: an order's lines in a row, with ways round every second one; some begin at an actor, some in a feature.
+    "fx_steps": """
+SELECT o, l, row_number() OVER (PARTITION BY o ORDER BY l) AS k, concat('s_', o, '_', l, CASE WHEN l % 4 = 0 THEN '_error' ELSE '' END) AS node_id, CASE WHEN o % 5 = 0 AND l % 7 = 1 THEN 'Feature' WHEN l % 3 = 0 THEN 'State' ELSE 'Action' END AS node_type, concat('Step ', l, ' of ', o) AS name FROM (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS o, CAST(l_linenumber AS INT) AS l FROM lineitem) x""",
     "ev_edges": "SELECT DISTINCT event_type AS src_id, nxt AS dst_id, 'LEADS_TO' AS rel_type FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) e WHERE nxt IS NOT NULL",
 }
 
@@ -65,6 +73,18 @@ def cte(*names: str) -> str:
     return "WITH RECURSIVE " + ", ".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)
 
 
+#: Nodes and edges of the branching flows, over fx_steps.
+FX_NODES = "SELECT node_id, node_type, name, CAST(l AS INT) AS seq, concat('REQ-', o) AS source FROM fx_steps UNION ALL SELECT DISTINCT concat('actor_', o), 'Actor', concat('Buyer ', o), CAST(NULL AS INT), concat('REQ-', o) FROM fx_steps WHERE o % 2 = 0"
+FX_EDGES = """SELECT a.node_id AS src_id, b.node_id AS dst_id, CASE WHEN b.k - a.k = 1 THEN 'LEADS_TO' ELSE 'TRIGGERS' END AS rel_type FROM fx_steps a JOIN fx_steps b ON a.o = b.o AND (b.k = a.k + 1 OR (b.k = a.k + 2 AND a.l % 2 = 1))
+UNION ALL SELECT concat('actor_', o), node_id, 'PERFORMS' FROM fx_steps WHERE k = 1 AND o % 2 = 0"""
+
+
+def flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the branching flows."""
+    load(spark, sf_dir, "fx_steps").createOrReplaceTempView("fx_steps")
+    return spark.sql(FX_NODES), spark.sql(FX_EDGES)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a projection of them."""
     if name in TABLES:

@@ -179,7 +179,7 @@ UNION ALL SELECT tc_id || '-ALT', 'Positive', 'Positive - Alternative interactio
 UNION ALL SELECT tc_id || '-EXC', 'Negative', 'Negative - Exception recovery during ' || feature, steps[1] || ' Trigger runtime exception during ' || feature || '. ' || steps[2] || ' ' || steps[3] FROM p)
 SELECT tc_id, tc_type, title, steps FROM v QUALIFY row_number() OVER (PARTITION BY title, steps ORDER BY tc_id) = 1""",
     "win06_case_ids": f"WITH {_P} SELECT ord, 'TC-' || feature || '-' || lpad((row_number() OVER (PARTITION BY feature ORDER BY ord))::VARCHAR, 3, '0') || '-' || substr(sha256(title), 1, 4) AS tc_id FROM p",
-    "agg18_grounding": f"WITH {_P}, n AS (SELECT n_name AS name FROM nation UNION ALL SELECT p_name FROM part WHERE p_partkey % 3 = 0), v AS (SELECT list(DISTINCT w) AS v FROM (SELECT unnest({_W4.format(c='name')}) AS w FROM n) q), s AS (SELECT tc_id, i - 1 AS step_no, {_W4.format(c='steps[i]')} AS ws FROM (SELECT tc_id, steps, unnest([1, 2, 3]) AS i FROM p) q) SELECT tc_id, step_no, len(ws) = 0 OR list_has_any(ws, v) AS grounded FROM s, v",
+    "agg18_grounding": f"WITH {_P}, n AS (SELECT n_name AS name FROM nation UNION ALL SELECT p_name FROM part WHERE p_partkey % 3 = 0), v AS (SELECT list(DISTINCT w) AS v FROM (SELECT unnest({_W4.format(c='name')}) AS w FROM n) q), k AS (SELECT list(DISTINCT w) FILTER (length(w) >= 4) AS k FROM (SELECT unnest({_W4.format(c='name')}) AS w FROM n UNION ALL SELECT lower(trim(name)) FROM n) q), s AS (SELECT tc_id, i - 1 AS step_no, lower(steps[i]) AS step, {_W4.format(c='steps[i]')} AS ws FROM (SELECT tc_id, steps, unnest([1, 2, 3]) AS i FROM p) q) SELECT tc_id, step_no, len(ws) = 0 OR list_has_any(ws, v) OR len(list_filter(k, lambda x: contains(step, x))) > 0 AS grounded FROM s, v, k",
     "snk13_jn16_validates": "WITH n AS (SELECT lower(trim(p_name)) AS t, min('part_' || p_partkey) AS i FROM part GROUP BY 1) SELECT DISTINCT 'P' || p_partkey AS tc_id, i AS node_id FROM part JOIN n ON t = lower(trim(p_name)) UNION SELECT 'P' || p_partkey, 'part_' || p_partkey FROM part",
     "snk15_render": f"WITH {_T} SELECT tc_id, 'Test Case: ' || tc_id || chr(10) || 'Title: ' || title || chr(10) || 'Steps:' || chr(10) || array_to_string(list_transform(steps, lambda x, i: i || '. ' || x), chr(10)) AS text FROM t",
     "win13_jn19_transitions": "SELECT * FROM (SELECT 'TC-' || conv_id AS tc_id, CAST(row_number() OVER w - 1 AS INT) AS pos, text AS step, lead(text) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) t WHERE next IS NOT NULL",

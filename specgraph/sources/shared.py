@@ -5,16 +5,39 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` (a new folder where that is unset, in tests) and read it back."""
-    spark = df.sparkSession
+
+def folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; where that is unset and all runs on this machine (tests), under a temporary one."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = f"file://{tempfile.mkdtemp(prefix='specgraph-')}"
         spark.sparkContext.setCheckpointDir(top)
-    path = f"{top.rstrip('/')}/specgraph/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{top.rstrip('/')}/specgraph/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; its shuffle files go as soon as it is written."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}-{name}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what ``cut`` wrote for these tables; nothing may still be read from them."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.cut_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -44,13 +44,13 @@ def save(df: DataFrame, folder: str) -> str:
 
 def latest(spark: SparkSession, folder: str) -> DataFrame:
     """The newest generation of a table."""
-    path = spark.read.parquet(f"{folder}/_pointer").agg(F.max_by("path", "written_at")).first()[0]
+    path = spark.read.parquet(f"{folder}/_pointer").agg(F.max_by("path", F.struct("written_at", "path"))).first()[0]
     return spark.read.parquet(path)
 
 
 def document_graph(nodes: DataFrame, edges: DataFrame, doc: str | None) -> tuple[DataFrame, DataFrame]:
-    """The part of a graph whose doc_id or source is ``doc``; nothing, or a name that begins like the stored whole, gives all."""
-    if not doc or doc.startswith("Stored Requirement Graph") or doc.startswith("All"):
+    """The part of a graph whose doc_id or source is ``doc``; nothing, "All", "All Documents", or a name that begins like the stored whole, gives all."""
+    if not doc or doc.startswith("Stored Requirement Graph") or doc in ("All", "All Documents"):
         return nodes.dropDuplicates(["node_id"]), edges.dropDuplicates(["src_id", "dst_id", "rel_type"])
     n = nodes.filter((F.col("doc_id") == doc) | (F.col("source") == doc)).dropDuplicates(["node_id"])
     ids = n.select("node_id")
@@ -105,3 +105,45 @@ def current_prompts(prompts: DataFrame, seeds: DataFrame) -> DataFrame:
     """The newest version of every prompt; seeds where none is stored."""
     every = prompts.unionByName(seeds.join(prompts.select("name").distinct(), "name", "left_anti").select(*prompts.columns))
     return every.groupBy("name").agg(F.max_by(F.struct("label", "version", "template"), "version").alias("p")).select("name", "p.label", "p.version", "p.template")
+
+
+def delete_prompt(prompts: DataFrame, name: str) -> DataFrame:
+    """Prompts without any version of one."""
+    return prompts.filter(F.col("name") != name)
+
+
+def inserted(nodes: DataFrame, new: DataFrame, batch: str | None = None) -> DataFrame:
+    """Nodes with new ones in place of those of the same id; the new ones carry batch_id where one is given."""
+    keep = nodes if "batch_id" in nodes.columns else nodes.withColumn("batch_id", F.lit(None).cast("string"))
+    add = new.dropDuplicates(["node_id"]).withColumn("batch_id", F.lit(batch).cast("string"))
+    return keep.join(add.select("node_id"), "node_id", "left_anti").unionByName(add, allowMissingColumns=True)
+
+
+def cleared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the table without rows, one row: how many there were)."""
+    return rows.limit(0), rows.agg(F.count("*").alias("deleted"))
+
+
+def with_communities(nodes: DataFrame, partition: DataFrame) -> DataFrame:
+    """Nodes with the community that ``partition`` (node_id, community) has for them."""
+    return nodes.drop("community").join(partition.select("node_id", "community"), "node_id", "left")
+
+
+def community_sizes(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("community is not null").groupBy("community").agg(F.count("*").alias("size"))
+
+
+def typed_nodes(rows: DataFrame) -> DataFrame:
+    """Stored nodes with attributes_json as a map (null where it isn't an object)."""
+    return rows.withColumn("attributes", F.from_json("attributes_json", "map<string,string>")).drop("attributes_json")
+
+
+def tokens(nodes: DataFrame) -> DataFrame:
+    """(token, node_id, kind): ids and names in lower case that stand for nodes of several generations (column gen).
+
+    An id's token means the node of the last generation; a name's that of the first, by id among equals, and only where no id has it.
+    """
+    clean = lambda c: F.lower(F.trim(c))
+    ids = nodes.filter("node_id is not null").groupBy(clean("node_id").alias("token")).agg(F.max_by("node_id", F.struct("gen", "node_id")).alias("node_id")).withColumn("kind", F.lit("id"))
+    names = nodes.filter("name is not null").groupBy(clean("name").alias("token")).agg(F.min_by("node_id", F.struct("gen", "node_id")).alias("node_id")).withColumn("kind", F.lit("name"))
+    return ids.unionByName(names.join(ids.select("token"), "token", "left_anti"))
