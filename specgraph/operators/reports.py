@@ -244,3 +244,49 @@ def contained_nodes(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     texts = steps.select("step_id", bare(F.col("text")).alias("t"))
     hit = texts.select("t").distinct().join(names, F.contains(F.col("t"), F.col("k"))).groupBy("t").agg(F.max("n").alias("n"))
     return texts.join(hit, "t").select("step_id", F.col("n.node_id").alias("node_id"))
+
+
+# Signs of a test case that is to fail, and types of nodes that support a step.
+FAILING = ("NEG", "FAIL", "EDGE", "NEGATIVE", "ERROR", "INVALID")
+SUPPORTING = ("BusinessRule", "Condition", "Constraint", "DataObject", "SystemComponent")
+
+
+def failure_trace(cases: DataFrame, validates: DataFrame, dominators: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(tc_id, target, kind, node_id): what must have happened before the nodes that failing test cases check.
+
+    ``cases``: tc_id, name, tc_type, of which those that look like failures are traced; ``validates``: tc_id, node_id; ``dominators``: node_id, dominator.
+    kind is upstream for the target's other dominators, supporting for rules, conditions, data and components that an edge joins to it or to one of them.
+    """
+    looks = F.upper(F.concat_ws(" ", "tc_id", "name", "tc_type"))
+    asked = cases.filter(looks.rlike("|".join(FAILING))).select("tc_id").distinct().join(validates, "tc_id").select("tc_id", F.col("node_id").alias("target")).distinct()
+    inner = asked.join(dominators.select(F.col("node_id").alias("target"), F.col("dominator").alias("node_id")), "target").select("tc_id", "target", "node_id")
+    inner = inner.unionByName(asked.withColumn("node_id", F.col("target"))).distinct()
+    kinds = nodes.filter(F.col("node_type").isin(*SUPPORTING)).select("node_id").distinct()
+    e = edges.select("src_id", "dst_id").distinct()
+    both = e.select(F.col("src_id").alias("node_id"), F.col("dst_id").alias("other")).unionByName(e.select(F.col("dst_id").alias("node_id"), F.col("src_id").alias("other")))
+    near = inner.join(both, "node_id").select("tc_id", "target", F.col("other").alias("node_id")).distinct().join(kinds, "node_id", "left_semi").join(inner, ["tc_id", "target", "node_id"], "left_anti")
+    up = inner.filter("node_id != target").select("tc_id", "target", F.lit("upstream").alias("kind"), "node_id")
+    return up.unionByName(near.select("tc_id", "target", F.lit("supporting").alias("kind"), "node_id"))
+
+
+def catalog(nodes: DataFrame) -> DataFrame:
+    """(node_id, node_type, name, source) of entities that a source item is known for, without the items' own nodes."""
+    kept = nodes.filter(~F.col("node_id").startswith("requirement_") & (F.coalesce("source", F.lit("")) != ""))
+    return kept.select("node_id", F.coalesce("node_type", F.lit("?")).alias("node_type"), F.coalesce("name", "node_id").alias("name"), "source")
+
+
+def catalog_lines(entries: DataFrame, item: str, most_chars: int) -> DataFrame:
+    """(node_id, line) of a catalog's entries from other items than ``item``, by id, as many as a budget of characters admits; the first always.
+
+    A line has eleven characters or more, so that a fixed number of entries is enough to fill the budget.
+    """
+    line = F.format_string("%s | %s | %s (from %s)\n", "node_id", "node_type", "name", "source")
+    some = entries.filter(F.col("source") != item).orderBy("node_id").limit(most_chars // 11 + 1).select("node_id", line.alias("line"))
+    w = W.orderBy("node_id")  # the budget bounds the rows
+    return some.withColumn("sum", F.sum(F.length("line")).over(w)).withColumn("rn", F.row_number().over(w)).filter((F.col("sum") <= most_chars) | (F.col("rn") == 1)).select("node_id", "line")
+
+
+def token_set(entries: DataFrame) -> DataFrame:
+    """(token) by which a catalog's entities may be named: ids, names, and names with spaces and underscores exchanged, in lower case."""
+    name = F.lower(F.trim("name"))
+    return entries.select(F.explode(F.array(F.lower(F.trim("node_id")), name, F.replace(name, F.lit(" "), F.lit("_")), F.replace(name, F.lit("_"), F.lit(" ")))).alias("token")).distinct()

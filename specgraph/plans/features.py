@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as X
+from ..operators import flow as L
 from ..operators import reports as P
 from ..operators import roles as R
 from .fixtures import FX_EDGES, FX_NODES, cte, flows, load
@@ -36,6 +37,27 @@ def _cases(s, d):
     return load(s, d, "orders").select(F.col("o_orderkey").alias("tc_id"), F.array(F.concat(F.lit("customer_"), "o_custkey"), F.concat(F.lit("part_"), F.col("o_orderkey") * 3), F.lit("Nation_1")).alias("source_items"))
 
 
+def _kept(s, d):
+    n, e = flows(s, d)
+    return X.stored(X.workflows(n, e, X.workflow_entries(n, e)), n, e)
+
+
+def _sourced(s, d):
+    return load(s, d, "g_nodes").withColumn("source", F.when(F.length("name") % 9 > 0, F.concat(F.lit("REQ-"), F.length("name") % 9)))
+
+
+def _trace(s, d):
+    """Every line item is checked by a case, some of them failing; its order's earlier steps come before it."""
+    n, e = flows(s, d)
+    steps = n.filter("seq IS NOT NULL")
+    cases = steps.select(F.concat(F.lit("TC-"), "node_id").alias("tc_id"), F.col("name"), F.when(F.col("seq") % 2 == 0, "Negative").otherwise("Positive").alias("tc_type"))
+    checks = steps.select(F.concat(F.lit("TC-"), "node_id").alias("tc_id"), "node_id")
+    chain = e.filter("rel_type = 'LEADS_TO'").join(n.select(F.col("node_id").alias("src_id"), F.col("source").alias("flow")), "src_id").select("flow", "src_id", "dst_id", F.lit(1).alias("pos"))
+    rules = steps.select(F.concat(F.lit("rule_"), "node_id").alias("node_id"), F.when(F.col("seq") % 3 == 0, "BusinessRule").otherwise("Note").alias("node_type"))
+    more = steps.select(F.concat(F.lit("rule_"), "node_id").alias("src_id"), F.col("node_id").alias("dst_id"))
+    return P.failure_trace(cases, checks, L.dominators(chain).select("node_id", "dominator"), n.select("node_id", "node_type").unionByName(rules), e.select("src_id", "dst_id").unionByName(more)).groupBy("tc_id", "kind").agg(F.count("*").alias("n"))
+
+
 def _whole_report(s, d):
     e = load(s, d, "g_edges")
     n = load(s, d, "g_nodes")
@@ -66,6 +88,13 @@ QUERIES = {
     "jn14_coverage": lambda s, d: P.coverage(load(s, d, "part").select(F.concat(F.lit("feature_"), "p_partkey").alias("node_id"), F.concat("p_name", F.lit("_"), "p_type").alias("name")), load(s, d, "part").select(F.concat_ws(" ", "p_type", "p_brand").alias("text")), load(s, d, "lineitem").select(F.concat(F.lit("feature_"), "l_partkey").alias("src_id"), F.concat(F.lit("feature_"), "l_suppkey").alias("dst_id"))),
     "jn28_grounded": lambda s, d: P.grounded(load(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("Part_"), "l_partkey")).alias("entities")).withColumnRenamed("l_orderkey", "tc_id"), load(s, d, "part").filter("p_size <= 45").select(F.concat(F.lit("part_"), "p_partkey").alias("token"))).select("tc_id"),
     "jn27_proposals": lambda s, d: P.accepted(load(s, d, "lineitem").select(F.concat(F.lit("order_"), "l_orderkey").alias("src_id"), F.concat(F.lit("part_"), F.col("l_partkey") + 3).alias("dst_id"), F.when(F.col("l_linenumber") % 3 == 0, "LIKES").otherwise("USES").alias("rel_type")), load(s, d, "g_nodes"))[0].groupBy("rel_type").agg(F.count("*").alias("n")),
+    "snk07_stored_edges": lambda s, d: _kept(s, d)[1].select("src_id", "dst_id", "rel_type", "feature_name"),
+    "snk07_stored_nodes": lambda s, d: _kept(s, d)[0].groupBy("node_type", "feature_name").agg(F.count("*").alias("n")),
+    "src20_reloaded": lambda s, d: X.reloaded(*_kept(s, d)),
+    "jn21_failure_trace": _trace,
+    "prj17_catalog": lambda s, d: P.catalog(_sourced(s, d)).groupBy("source").agg(F.count("*").alias("n"), F.min("node_id").alias("lowest")),
+    "prj17_catalog_lines": lambda s, d: P.catalog_lines(P.catalog(_sourced(s, d)), "REQ-6", 3000),
+    "prj18_tokens": lambda s, d: P.token_set(P.catalog(_sourced(s, d))).agg(F.count("*").alias("n"), F.min("token").alias("lowest"), F.max("token").alias("highest")),
     "agg26_plan_statistics": lambda s, d: P.plan_statistics(load(s, d, "ver_a_nodes"), load(s, d, "ver_b_nodes"), load(s, d, "ver_a_edges"), load(s, d, "ver_b_edges")),
 }
 
@@ -107,6 +136,15 @@ SELECT steps, flow_edges, features, feature_steps, valid, step_coverage, transit
     "snk13_verifies": f"{_G}, c AS (SELECT o_orderkey AS tc_id, unnest(['customer_' || o_custkey, 'part_' || (o_orderkey * 3), 'Nation_1']) AS node_id FROM orders) SELECT DISTINCT tc_id, node_id FROM c WHERE node_id IN (SELECT node_id FROM g_nodes)",
     "snk13_unresolved": f"{_G}, c AS (SELECT o_orderkey AS tc_id, unnest(['customer_' || o_custkey, 'part_' || (o_orderkey * 3), 'nation_1']) AS token FROM orders) SELECT DISTINCT tc_id, token FROM c WHERE token NOT IN (SELECT lower(node_id) FROM g_nodes) AND token NOT IN (SELECT lower(name) FROM g_nodes)",
     "jn22_contained_names": f"{_G}, t AS (SELECT n_nationkey AS step_id, regexp_replace(lower('Open ' || n_name || ' of ' || r_name), '[^a-z0-9]', '', 'g') AS x FROM nation JOIN region ON n_regionkey = r_regionkey), n AS (SELECT node_id, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS k, CASE WHEN node_type = 'Country' THEN 100 ELSE 0 END + CAST(regexp_extract(node_id, '(\\d+)', 1) AS INT) AS ord FROM g_nodes WHERE node_type IN ('Country', 'Location')) SELECT step_id, arg_max(node_id, ord) AS node_id FROM t JOIN n ON contains(x, k) GROUP BY step_id",
+    "snk07_stored_edges": f"""{_FX}, f AS (SELECT o, k, node_id, name FROM fx_steps WHERE node_type = 'Feature'), w AS (SELECT s.node_id, f.name AS feature_name, f.node_id AS entry FROM fx_steps s JOIN f ON f.o = s.o AND s.k >= f.k)
+SELECT 'feature_' || replace(name, ' ', '_') AS src_id, node_id AS dst_id, 'HAS_STEP' AS rel_type, name AS feature_name FROM f UNION ALL SELECT DISTINCT src_id, dst_id, 'NEXT', feature_name FROM w JOIN fxe ON src_id = node_id""",
+    "snk07_stored_nodes": f"""{_FX}, f AS (SELECT o, k, node_id, name FROM fx_steps WHERE node_type = 'Feature') SELECT 'Feature' AS node_type, name AS feature_name, 1 AS n FROM f UNION ALL SELECT 'WorkflowStep', f.name, count(*) FROM fx_steps s JOIN f ON f.o = s.o AND s.k >= f.k GROUP BY 2""",
+    "src20_reloaded": f"""{_FX}, f AS (SELECT o, k, name FROM fx_steps WHERE node_type = 'Feature') SELECT f.name AS feature_name, CAST(row_number() OVER (PARTITION BY f.name ORDER BY s.k) - 1 AS INT) AS pos, s.node_id FROM fx_steps s JOIN f ON f.o = s.o AND s.k >= f.k""",
+    "jn21_failure_trace": f"""{_FX}, t AS (SELECT *, count(*) OVER (PARTITION BY o) AS c FROM fx_steps), a AS (SELECT * FROM t WHERE l % 2 = 0 OR l % 4 = 0) SELECT 'TC-' || a.node_id AS tc_id, 'upstream' AS kind, count(*) AS n FROM a JOIN t b ON b.o = a.o AND b.k < a.k GROUP BY 1
+UNION ALL SELECT 'TC-' || a.node_id, 'supporting', count(*) FROM a JOIN t b ON b.o = a.o AND b.k <= a.k WHERE b.l % 3 = 0 GROUP BY 1""",
+    "prj17_catalog": f"{_G} SELECT 'REQ-' || (length(name) % 9) AS source, count(*) AS n, min(node_id) AS lowest FROM g_nodes WHERE length(name) % 9 > 0 GROUP BY 1",
+    "prj17_catalog_lines": f"{_G}, l AS (SELECT node_id, node_id || ' | ' || node_type || ' | ' || name || ' (from REQ-' || (length(name) % 9) || ')' || chr(10) AS line FROM g_nodes WHERE length(name) % 9 NOT IN (0, 6)) SELECT node_id, line FROM (SELECT *, sum(length(line)) OVER (ORDER BY node_id) AS total FROM l) WHERE total <= 3000",
+    "prj18_tokens": f"{_G}, c AS (SELECT lower(trim(node_id)) AS i, lower(trim(name)) AS n FROM g_nodes WHERE length(name) % 9 > 0), t AS (SELECT i AS token FROM c UNION SELECT n FROM c UNION SELECT replace(n, ' ', '_') FROM c UNION SELECT replace(n, '_', ' ') FROM c) SELECT count(*) AS n, min(token) AS lowest, max(token) AS highest FROM t",
     "agg26_plan_statistics": f"""{cte('ver_a_nodes', 'ver_b_nodes', 'ver_a_edges', 'ver_b_edges')} SELECT (SELECT count(*) FROM ver_b_nodes WHERE node_id NOT IN (SELECT node_id FROM ver_a_nodes)) AS new_nodes, (SELECT count(*) FROM ver_b_nodes WHERE node_id IN (SELECT node_id FROM ver_a_nodes)) AS known_nodes,
 (SELECT count(*) FROM ver_b_edges b WHERE NOT EXISTS (SELECT 1 FROM ver_a_edges a WHERE a.src_id = b.src_id AND a.dst_id = b.dst_id)) AS new_edges, (SELECT count(*) FROM ver_b_edges b WHERE EXISTS (SELECT 1 FROM ver_a_edges a WHERE a.src_id = b.src_id AND a.dst_id = b.dst_id)) AS known_edges""",
 }
