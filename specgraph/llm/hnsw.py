@@ -345,7 +345,6 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id: str = "vec_id",
 
     keys = ["dim", "shard", "part"]
     found = _util.cut(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(each, "node bigint, links bigint, other bigint"), "vector-links")
-    _util.free_shuffles(spark)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     final = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     about = classes.join(links.withColumnRenamed("node", "rep"), "rep", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")

@@ -2,43 +2,56 @@
 
 A line is the set of its tokens. Tokens are ordered by rarity, so that two sets with a Jaccard similarity of
 at least t share a token within their first n - ceil(t n) + 1. Sets that share one there are
-candidates if their sizes (length filter), the tokens left after the shared one (positional filter) and a
-64-bit summary of the sets allow the overlap that t asks for; the tokens themselves then decide.
+candidates if their sizes (length filter), the tokens left after the shared one (positional filter), the
+parities of 64 groups of their tokens (256 of large sets) and the number of prefix tokens that they share allow the overlap that t asks
+for; the tokens themselves then decide.
+
+A line goes if one earlier line matches it, so that not all pairs of a group of copies are needed. Lines first
+meet the earliest line of each of a few of their prefix tokens: one candidate a line, however large the
+group. Only lines that this leaves unmatched are then joined, as the later side, with all earlier ones.
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _util
 
-#: Buckets of the token counts that order tokens, sixteen to a word of 64 bits: fixed, and so is the size of what every task gets.
-BUCKETS = 1 << 20
+#: Token counts are kept in buckets by hash, one to TEXT_PER_BUCKET bytes of distinct lines; the powers of two between which their number lies.
+TEXT_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 256, 10, 25
+#: Prefix tokens whose earliest line a line meets first.
+SEEDS = 2
+#: Sets of more tokens than this also have the parities of 256 groups, in three more words.
+LONG = 112
+_MORE = ("w1", "w2", "w3")
 _SHIFT = 4294967296
+_KEY = ["doc_id", "line_no"]
+#: ASCII white space.
+_SPACES = " \t\n\x0b\f\r"
+#: A code holds the level of its bucket above this bit and the end of the token's hash below. Codes under _ALONE stand in one line only.
+_LEVEL_BIT = 56
+_ALONE = 1 << _LEVEL_BIT
 
 
 def _norm(line: Column) -> Column:
     """Lower case, any ASCII white space as a space, none at the ends."""
     low = F.lower(line)
-    for c in "\t\n\x0b\f\r":
-        low = F.replace(low, F.lit(c), F.lit(" "))
-    return F.trim(low)
-
-
-def _tokens(norm: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(norm, " ")), "")
+    plain = low
+    for c in _SPACES[1:]:
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    return F.trim(F.when(low.rlike(f"[{_SPACES[1:]}]"), plain).otherwise(low))
 
 
-def _word(h: Column) -> Column:
-    """Which packed word holds the bucket of a token's hash."""
-    return F.shiftrightunsigned(h, 48).cast("int")
+def _blank(line: Column) -> Column:
+    return F.btrim(line, F.lit(_SPACES)) == ""
 
 
-def _place(h: Column) -> Column:
-    """At which bit of it: a multiple of four."""
-    return h.bitwiseAND(F.lit(60)).cast("int")
+def _tokens(norm: Column) -> Column:
+    return F.array_remove(F.array_distinct(F.split(norm, " ")), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -55,77 +68,135 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return first.select(((F.col("place") - number) / F.lit(_SHIFT).cast("decimal(11,0)")).cast("bigint").alias("doc_id"), number.cast("int").alias("line_no"), "norm")
 
 
-def rarity(lines: DataFrame) -> Column:
-    """Magnitude (power of two) of the count of every token bucket, as a constant array of packed words."""
+def _buckets(lines: DataFrame) -> int:
+    """Logarithm of the number of buckets: as many as the text asks for, up to what every task can hold (a byte each)."""
+    size = lines.agg(F.sum(F.octet_length("norm"))).first()[0] or 0
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, math.ceil(math.log2(size / TEXT_PER_BUCKET + 1))))
+
+
+def _rarity(lines: DataFrame, k: int) -> tuple[Column, str]:
+    """The levels (half powers of two) of the counts of all 2^k buckets, a byte each."""
     h = F.xxhash64("t")
-    counts = lines.select(F.explode(F.split("norm", " ")).alias("t")).groupBy(_word(h).alias("w"), _place(h).alias("p")).count()
-    level = F.least(F.log2(F.col("count").cast("double")).cast("int"), F.lit(15)).cast("bigint")
-    packed = counts.groupBy("w").agg(F.bit_or(F.call_function("shiftleft", level, F.col("p"))).alias("v")).collect()
-    words = ["0"] * (BUCKETS // 16)
-    for r in packed:
-        words[r["w"]] = str(r["v"])
-    return F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
+    tokens = lines.select(F.explode(F.split("norm", " ")).alias("t")).select(F.shiftrightunsigned(h, 64 - k).cast("int").alias("b"))
+    level = (F.log2(F.col("count").cast("double")) * 2).cast("int").cast("bigint")
+    levels = tokens.groupBy("b").count().select(F.shiftright("b", 3).alias("w"), F.call_function("shiftleft", level, F.col("b").bitwiseAND(F.lit(7)) * 8).alias("v"))
+    return _util.constant(levels, 1 << (k - 3), lambda words: F.flatten(F.transform(words, lambda x: F.array(*[F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(127)).cast("tinyint") for i in range(8)]))), "ARRAY<TINYINT>")
+
+
+def _parities(codes: Column) -> Column:
+    """Bit i tells whether the number of codes that end in the six bits of i is odd."""
+    return F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def prefixes(lines: DataFrame, threshold: float) -> DataFrame:
-    """(token, at, doc_id, line_no, n, bits): the first tokens of each line by rarity, with the line's size and summary."""
-    ranks = rarity(lines)
+def line_sets(lines: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, line_no, n, bits, wide, first): size of each line's set, parities of its tokens by group (wide: null but for large sets), and its prefix by rarity; written out."""
+    k = _buckets(lines)
+    levels, name = _rarity(lines, k)
 
     def code(h: Column) -> Column:
-        """Magnitude of the token's count, then 59 bits of its hash."""
-        level = F.call_function("shiftrightunsigned", F.get(ranks, _word(h)), _place(h)).bitwiseAND(F.lit(15))
-        return F.shiftleft(level, 59).bitwiseOR(h.bitwiseAND(F.lit((1 << 59) - 1)))
+        level = F.coalesce(F.get(levels, F.shiftrightunsigned(h, 64 - k).cast("int")), F.lit(0).cast("tinyint"))  # never null, which keeps arrays of codes plain
+        return F.shiftleft(level.cast("bigint"), _LEVEL_BIT).bitwiseOR(h.bitwiseAND(F.lit(_ALONE - 1)))
 
-    def about(codes: Column) -> Column:
-        n = F.size(codes)
-        bits = F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, c: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(F.lit(63)).cast("int"))))
-        return F.struct(n.alias("n"), bits.alias("bits"), F.slice(codes, F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1).alias("first"))
+    hashes = F.transform(F.array_remove(F.split("norm", " "), ""), lambda t: F.xxhash64(t))
+    codes = F.sort_array(F.array_distinct(F.transform(hashes, code)))
+    each = lines.select(*_KEY, F.explode(F.array(codes)).alias("codes"))  # a generator, so that the codes are made once and not once per use
+    n = F.size("codes")
+    part = lambda i: _parities(F.filter("codes", lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(3)) == i))
+    words = [_parities(F.col("codes")).alias("bits"), F.when(n > LONG, F.struct(*[part(i).alias(w) for i, w in enumerate(_MORE, 1)])).alias("wide")]
+    out = _util.cut(each.select(*_KEY, n.alias("n"), *words, F.slice("codes", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1).alias("first")), "line-sets")
+    _util.forget(lines.sparkSession, name)
+    return out
 
-    hashes = F.array_distinct(F.transform(F.array_remove(F.split("norm", " "), ""), lambda t: F.xxhash64(t)))
-    # Bound to a lambda's variable and generated, the sorted codes are made once, not once per use.
-    sets = lines.select("doc_id", "line_no", F.inline(F.transform(F.array(F.sort_array(F.transform(hashes, code))), about)))
-    return sets.select("doc_id", "line_no", "n", "bits", F.posexplode("first").alias("at", "token"))
 
+def _need(na: Column, nb: Column, threshold: float) -> Column:
+    """Tokens that two sets of these sizes must share."""
+    return F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
 
-def candidates(lines: DataFrame, threshold: float) -> DataFrame:
-    """(a_doc, a_line, b_doc, b_line, shared): pairs of distinct lines, the earlier one first, that the filters leave, with the number of prefix tokens that they passed at."""
-    p = prefixes(lines, threshold)
-    a, b = p.alias("a"), p.alias("b")
-    na, nb = F.col("a.n"), F.col("b.n")
-    need = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
-    earlier = (F.col("a.doc_id") < F.col("b.doc_id")) | ((F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.line_no") < F.col("b.line_no")))
+
+def _apart(a: str, b: str) -> Column:
+    """Groups of tokens with another parity in two sets, each of which holds a token that is in one set only; a and b name the rows."""
+    whole = F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits"))
+    more = [F.col(f"{a}wide.{w}").bitwiseXOR(F.col(f"{b}wide.{w}")) for w in _MORE]
+    first = whole.bitwiseXOR(more[0]).bitwiseXOR(more[1]).bitwiseXOR(more[2])  # the first of the four words: together they give ``bits``
+    return F.coalesce(F.bit_count(first) + F.bit_count(more[0]) + F.bit_count(more[1]) + F.bit_count(more[2]), F.bit_count(whole))
+
+
+def _plausible(na: Column, nb: Column, apart: Column, threshold: float) -> Column:
+    """Whether sizes and parities allow a match."""
     length = F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9
-    positional = F.least(na - F.col("a.at"), nb - F.col("b.at")) >= need
-    summary = na + nb - F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) >= 2 * need
-    cand = a.join(b, (F.col("a.token") == F.col("b.token")) & earlier & length & positional & summary)
-    cand = cand.groupBy(F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line"), F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line")).agg(F.count("*").alias("shared"))
-    return _util.cut(cand, "line-pairs")
+    return length & (apart <= na + nb - 2 * _need(na, nb, threshold))
+
 
+def first_candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a_doc, a_line, b_doc, b_line): for each line b the most alike of the earliest lines of SEEDS of its prefix tokens.
 
-def verified(cand: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, line_no) of the later lines of candidate pairs whose tokens have a Jaccard similarity of ``threshold`` or more."""
-    sides = cand.select("a_doc", "a_line", "b_doc", "b_line")
+    The tokens are those with the smallest hashes among the ones that other lines may have, which similar lines choose alike.
+    """
+    seeds = F.slice(F.array_sort(F.transform(F.filter("first", lambda c: c >= _ALONE), lambda c: F.xxhash64(c))), 1, SEEDS)
+    own = sets.select(F.explode(seeds).alias("seed"), *_KEY, "n", "bits", "wide")
+    earliest = own.groupBy("seed").agg(F.min(F.struct(*_KEY, "n", "bits", "wide")).alias("a"), F.count("*").alias("c")).filter("c > 1").select("seed", "a")
+    other = (F.col("a.doc_id") != F.col("doc_id")) | (F.col("a.line_no") != F.col("line_no"))
+    apart = _apart("a.", "")
+    met = own.join(earliest, "seed").filter(other & _plausible(F.col("a.n"), F.col("n"), apart, threshold))
+    best = met.groupBy(*_KEY).agg(F.min(F.struct(apart.alias("apart"), F.col("a.doc_id").alias("doc_id"), F.col("a.line_no").alias("line_no"))).alias("a"))
+    return best.select(F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line"), F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line"))
+
+
+def candidates(sets: DataFrame, matched: DataFrame, threshold: float) -> DataFrame:
+    """(a_doc, a_line, b_doc, b_line): pairs, the earlier line first, that the filters leave of lines not in ``matched`` with all earlier ones; written out."""
+    # Most lines a filter by hash knows to be unmatched; the others are looked up.
+    maybe, name = _util.among(matched, F.xxhash64(*_KEY))
+    one = F.lit(1).cast("bigint")
+    known = sets.filter(maybe).join(matched.select(*_KEY, F.lit(0).cast("bigint").alias("open")), _KEY, "left").withColumn("open", F.coalesce("open", one))
+    flagged = sets.filter(~maybe).withColumn("open", one).unionByName(known)
+    p = flagged.select(*_KEY, "n", "open", "bits", "wide", F.posexplode("first").alias("at", "token")).filter(F.col("token") >= _ALONE)
+    about = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("bigint"), 1)).bitwiseOR(F.col("open"))
+    p = p.select("token", *_KEY, about.alias("about"), "bits", "wide")  # size, position and openness in one number: the shuffle's rows are many
+    a, b = p.alias("a"), p.alias("b")
+    (na, at_a, _), (nb, at_b, opened) = (
+        (F.shiftright(f"{s}.about", 32), F.shiftright(F.col(f"{s}.about").bitwiseAND(F.lit(0xFFFFFFFF)), 1), F.col(f"{s}.about").bitwiseAND(F.lit(1))) for s in ("a", "b")
+    )
+    earlier = (F.col("a.doc_id") < F.col("b.doc_id")) | ((F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.line_no") < F.col("b.line_no")))
+    positional = F.least(na - at_a, nb - at_b) >= _need(na, nb, threshold)
+    # A condition on one side would part the shuffles of the two; `opened` times a size of the other side is one on both.
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (opened * na > 0) & earlier & _plausible(na, nb, _apart("a.", "b."), threshold))
+    ends = [F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line"), F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line")]
+    # Of the set whose prefix ends first in the order, all shared tokens up to there are in the other's prefix too, and only n - need can be missing.
+    least = _need(na, nb, threshold) - F.ceil(F.greatest(na, nb) * threshold - 1e-9) + 1
+    found = met.groupBy(*ends).agg(F.count("*").alias("shared"), F.max(least).alias("least"), F.bool_or(positional).alias("positional"))
+    out = _util.cut(found.filter("positional and shared >= least").select("a_doc", "a_line", "b_doc", "b_line"), "line-pairs")
+    _util.forget(sets.sparkSession, name)
+    return out
+
+
+def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, line_no) of the later lines of candidate pairs whose tokens have a Jaccard similarity of ``threshold`` or more; written out.
+
+    Only lines that are in a pair are dealt out, but for a few that a filter by hash lets through.
+    """
+    ends = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")).unionByName(pairs.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")))
+    wanted, name = _util.among(ends, F.xxhash64(*_KEY))
+    some = lines.filter(wanted)
+    sides = pairs
     for s in ("a", "b"):
-        sides = sides.join(lines.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line_no").alias(f"{s}_line"), F.col("norm").alias(s)), [f"{s}_doc", f"{s}_line"])
-    x, y = _tokens(F.col("a")), _tokens(F.col("b"))
-    both = F.size(F.array_intersect(x, y))
-    return sides.filter(both >= (F.size(x) + F.size(y) - both) * threshold - 1e-9).select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).distinct()
+        sides = sides.join(some.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line_no").alias(f"{s}_line"), F.col("norm").alias(s)), [f"{s}_doc", f"{s}_line"])
+    sides = sides.select("b_doc", "b_line", F.inline(F.array(F.struct(_tokens(F.col("a")).alias("x"), _tokens(F.col("b")).alias("y")))))
+    both = F.size(F.array_intersect("x", "y"))
+    found = sides.filter(both >= (F.size("x") + F.size("y") - both) * threshold - 1e-9).select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).distinct()
+    out = _util.cut(found, "gone-lines")
+    _util.forget(lines.sparkSession, name)
+    return out
 
 
 def later_matches(lines: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, line_no) of lines that match an earlier one.
-
-    One match is enough: each line's most promising candidate, that with most prefix tokens in common, is verified first, and the others only where that fails.
-    """
-    key = ["doc_id", "line_no"]
-    cand = candidates(lines, threshold)
-    _util.free_shuffles(lines.sparkSession)
-    best = cand.groupBy("b_doc", "b_line").agg(F.max_by(F.struct("a_doc", "a_line"), F.struct("shared", -F.col("a_doc"), -F.col("a_line"))).alias("a")).select("a.a_doc", "a.a_line", "b_doc", "b_line")
-    first = _util.cut(verified(best, lines, threshold), "gone-lines")
-    _util.free_shuffles(lines.sparkSession)
-    rest = cand.join(first.select(F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line")), ["b_doc", "b_line"], "left_anti")
-    gone = _util.cut(first.unionByName(verified(rest, lines, threshold)).select(*key), "gone-lines")
-    _util.drop(cand, first)
+    """(doc_id, line_no) of lines that match an earlier one."""
+    sets = line_sets(lines, threshold)
+    met = _util.cut(first_candidates(sets, threshold), "line-pairs")
+    first = verified(met, lines, threshold)
+    pairs = candidates(sets, first, threshold)
+    rest = verified(pairs, lines, threshold)
+    gone = _util.cut(first.unionByName(rest), "gone-lines")
+    _util.drop(sets, met, first, pairs, rest)
     return gone
 
 
@@ -135,46 +206,62 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     A line goes if any earlier one, by doc_id and then line number, has a Jaccard similarity of ``threshold`` or more, whether
     that one stays or not. Tokens are runs of characters other than ASCII white space, in lower case.
     """
-    lines = _util.cut(distinct_lines(_util.only(docs, "doc_id", "text").filter("doc_id is not null")), "lines", "zstd")
-    _util.free_shuffles(docs.sparkSession)
+    lines = _util.cut(distinct_lines(_util.only(docs, "doc_id", "text").filter("doc_id is not null")), "lines")
     gone = later_matches(lines, threshold)
-    _util.free_shuffles(docs.sparkSession)
-    stay = lines.select("doc_id", "line_no").join(gone, ["doc_id", "line_no"], "left_anti")
+    maybe, name = _util.among(gone, F.xxhash64(*_KEY))
+    places = lines.select(*_KEY)
+    stay = places.filter(~maybe).unionByName(places.filter(maybe).join(gone, _KEY, "left_anti"))
     kept = _util.cut(stay.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("kept")), "kept-lines")
+    _util.forget(docs.sparkSession, name)
     _util.drop(lines, gone)
     return kept
 
 
+def _full(parts: Column) -> Column:
+    """Numbers of the lines that aren't blank."""
+    return F.array_compact(F.transform(parts, lambda x, i: F.when(~_blank(x), i)))
+
+
+def _parts(text: str = "text") -> Column:
+    return F.coalesce(F.split(text, "\n"), F.array().cast("array<string>"))
+
+
+def _gone(full: str, kept: str) -> Column:
+    """Numbers of the lines that go; none in rows without an id."""
+    none = F.array().cast("array<int>")
+    return F.when(F.col("doc_id").isNull(), none).otherwise(F.array_except(full, F.coalesce(kept, none)))
+
+
+def _once(value: Column) -> Column:
+    """A generator of one row, so that ``value`` is made once and not once per use."""
+    return F.explode(F.array(value))
+
+
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, emptied: bool = True) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; other columns stay as they are.
 
     Blank lines and null texts stay. A document of which no line is left keeps its row, with what blank lines it has;
     without ``emptied`` such rows go, and those that had blank lines only stay.
-    Rows without an id stay as they are. Rows that repeat an id count as one document: a line number
-    stays in all of them if it does in one.
+    Rows without an id stay as they are. Rows that repeat an id count as one document: what holds for a line number in one
+    of them holds in all.
     """
     kept = kept_lines(docs, threshold).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
-    parts = F.split("text", "\n")
-    blank = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: _norm(F.get(parts, i)) == "")
-    stay = F.array_sort(F.array_union(F.coalesce("__kept", F.array().cast("array<int>")), blank))
-    text = F.array_join(F.filter(F.transform(stay, lambda i: F.get(parts, i)), lambda x: x.isNotNull()), "\n")
-    joined = docs.join(kept, docs["doc_id"] == kept["__id"], "left")
-    new = F.when(F.col("doc_id").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text)
+    rows = docs.join(kept, docs["doc_id"] == kept["__id"], "left").select("*", _once(_parts()).alias("__parts"))
+    rows = rows.select("*", _once(_full(F.col("__parts"))).alias("__full")).select("*", _once(_gone("__full", "__kept")).alias("__gone"))
     if not emptied:
-        left = F.exists(F.coalesce("__kept", F.array().cast("array<int>")), lambda i: F.coalesce(_norm(F.get(parts, i)) != "", F.lit(False)))
-        lost = F.col("doc_id").isNotNull() & (_norm(F.col("text")) != "") & ~left
-        joined = joined.filter(~F.coalesce(lost, F.lit(False)))
-    return joined.select(*[new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+        rows = rows.filter((F.size("__gone") == 0) | (F.size("__gone") < F.size("__full")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__gone")
+    text = F.when(F.size("__gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__parts", i)), "\n"))
+    return rows.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed): per document the numbers of the lines that go; null texts have no lines."""
     kept = kept_lines(docs, threshold)
-    parts = F.split("text", "\n")
-    full = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: _norm(F.get(parts, i)) != "")
-    about = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"), F.when(F.col("text").isNull(), F.array().cast("array<int>")).otherwise(full).alias("full"))
-    gone = F.when(F.col("doc_id").isNull(), F.array().cast("array<int>")).otherwise(F.array_except("full", F.coalesce("kept", F.array().cast("array<int>"))))
-    return about.join(kept, "doc_id", "left").withColumn("removed", gone).select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
+    # What the lines are is told before the join, so that texts stay where they are.
+    about = docs.select("doc_id", _once(_parts()).alias("parts")).select("doc_id", F.size("parts").alias("n_lines"), _full(F.col("parts")).alias("full"))
+    rows = about.join(kept, "doc_id", "left").select("doc_id", "n_lines", _once(_gone("full", "kept")).alias("removed"))
+    return rows.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
