@@ -25,7 +25,7 @@ from . import _util
 BLOCK_SHINGLES = 2_000_000
 #: Size partitions: from one power of this number of shingles to the next.
 SIZE_STEP = 1.5
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 _WORD = re.compile(r"\w+")
 
 
@@ -47,6 +47,11 @@ class _Hash(dict):
 _HASHES = _Hash()
 
 
+def forget_words() -> None:
+    """Called when a task ends: its worker may go on to other work."""
+    _HASHES.clear()
+
+
 def word_hashes(found: list[str]) -> np.ndarray:
     if len(_HASHES) > KEPT_WORDS:
         _HASHES.clear()
@@ -156,6 +161,7 @@ def _searcher(block, size: int, threshold: float):
             cols = list(zip(*rows)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array([cols[i][j] for j in range(len(rows))], k) for i, k in zip((0, 1, 2, 3, 4, 5), kinds)], names=["doc_id", "item_id", "n_shared", "n_shingles", "first_word", "last_word"])
+        forget_words()
 
     return run
 

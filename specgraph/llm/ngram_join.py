@@ -1,8 +1,11 @@
 """Near-duplicate documents by Jaccard similarity of word shingles: a MinHash LSH forest and exact verification.
 
-A forest has TREES trees. In each, signatures of DEPTH MinHash values are sorted; documents that share
-a prefix of them share a trie node. Matching starts at whole signatures, and the prefixes are shortened until
-the recall, from the collision model and from an audit of sampled documents against all, reaches the target.
+A forest has TREES tries. In each, documents stand sorted by a signature of DEPTH MinHash values of its own; those that
+share a prefix are neighbours there and share a node. Matching starts at whole signatures, and the prefixes
+are shortened, one tree at a time, until the recall reaches the target: that of the collision model, and that
+measured on sampled documents whose pairs are known by their exact Jaccard similarity. A node's documents are found
+by grouping on the prefix: the runs of equal prefixes that sorting gives, but summed up before the shuffle, so that
+a run that holds a third of all documents never meets in one task.
 Documents that share a node in any tree are candidates. What candidates connect is verified exactly, all pairs
 of a block of bounded size at once; larger sets are cut into blocks by size and hash, and every
 pair of blocks that can hold a link is one task. Documents with equal shingle sets are one class and verified once.
@@ -16,16 +19,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _util
 from .components import components
-from .decontam import shingle_hashes, word_hashes, words
+from .decontam import forget_words, shingle_hashes, word_hashes, words
 
 TREES, DEPTH = 20, 5
-#: Documents (those with the smallest hashes of their ids) whose matches are audited against all documents.
-AUDITED = 256
+#: Documents (those with the smallest hashes of their ids) whose pairs with all others are sought, and pairs of each (again by hash) that are audited.
+AUDITED, PARTNERS = 256, 8
+#: By so much may the share of equal MinHash values fall short of the threshold in a pair whose exact similarity is asked for (five standard deviations).
+SLACK = 0.2
 #: Weight of a verification block: shingles, and so many more per document.
 BLOCK, PER_DOC = 2_000_000, 1000
 
@@ -72,38 +77,78 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
             flat = pa.array(np.concatenate(sig) if sig else np.zeros(0, np.int32), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * (TREES * DEPTH)), flat)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), lists], names=["doc_id", "cls", "n", "sig"])
+        forget_words()
 
     return docs.mapInArrow(run, "doc_id bigint, cls binary, n bigint, sig array<int>")
 
 
-def choose_depth(reps: DataFrame, threshold: float, target: float) -> int:
-    """The longest prefix whose recall reaches the target by the model and by the audit."""
+def exact_sets(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` (text, cls, and other columns) with the shingles' hashes in place of text and cls; rows whose text is not of that class go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, size) for t in b.column("text").to_pylist()]
+            own = [_digest(s) == c for s, c in zip(sets, b.column("cls").to_pylist())]  # rows may repeat an id with other texts
+            names = [x for x in b.schema.names if x not in ("text", "cls")]
+            batch = pa.RecordBatch.from_arrays([*[b.column(x) for x in names], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*names, "shingles"])
+            yield batch.filter(pa.array(own, pa.bool_()))
+        forget_words()
+
+    names = [c for c in docs.columns if c not in ("text", "cls")]
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.select(*names, "cls", "text").mapInArrow(run, f"{schema}, shingles binary")
+
+
+def audited(docs: DataFrame, reps: DataFrame, size: int, threshold: float) -> np.ndarray:
+    """Values that the pairs of sampled documents share from the start, [pair, tree]; pairs with an exact similarity of ``threshold`` or more."""
     spark = reps.sparkSession
     rows = reps.orderBy(F.xxhash64("rep"), "rep").limit(AUDITED).select("rep", "sig").collect()
     if not rows:
-        return DEPTH
-    ids, sigs = np.array([r.rep for r in rows]), np.array([r.sig for r in rows], dtype=np.int32)
-    sample = spark.sparkContext.broadcast((ids, sigs))
+        return np.zeros((0, TREES), dtype=np.int32)
+    sample = spark.sparkContext.broadcast((np.array([r.rep for r in rows]), np.array([r.sig for r in rows], dtype=np.int32)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sigs = sample.value
-        true, found = 0, np.zeros(DEPTH + 1, dtype=np.int64)
         for b in batches:
             own = b.column("rep").to_numpy()
             have = b.column("sig").flatten().to_numpy().reshape(len(own), -1)
-            for q, s in zip(ids, sigs):
+            q, rep, common = [], [], []
+            for i, s in zip(ids, sigs):
                 same = have == s
-                near = same[(same.mean(axis=1) >= threshold) & (own != q)].reshape(-1, TREES, DEPTH)
-                true += len(near)
-                for x in range(1, DEPTH + 1):
-                    found[x] += near[:, :, :x].all(axis=2).any(axis=1).sum()
-        yield pa.RecordBatch.from_pylist([{"depth": x, "found": int(found[x]), "true": true} for x in range(1, DEPTH + 1)], schema=pa.schema([("depth", pa.int32()), ("found", pa.int64()), ("true", pa.int64())]))
+                like = np.flatnonzero((same.mean(axis=1) >= threshold - SLACK) & (own != i))
+                q += [i] * len(like)
+                rep += own[like].tolist()
+                common += np.cumprod(same[like].reshape(-1, TREES, DEPTH), axis=2).sum(axis=2).astype(np.int32).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(rep, pa.int64()), pa.array(common, pa.list_(pa.int32()))], names=["q", "rep", "common"])
 
-    audit = {r.depth: r.found / r.true if r.true else 1.0 for r in reps.select("rep", "sig").mapInArrow(run, "depth int, found bigint, true bigint").groupBy("depth").agg(F.sum("found").alias("found"), F.sum("true").alias("true")).collect()}
-    depth = DEPTH
-    while depth > 1 and (1 - (1 - threshold**depth) ** TREES < target or audit[depth] < target):
-        depth -= 1
-    return depth
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [[np.frombuffer(x, dtype=np.uint64) for x in b.column(c).to_pylist()] for c in ("x", "y")]
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets)]
+            use = [n >= threshold * (len(x) + len(y) - n) - 1e-9 for n, x, y in zip(both, *sets)]
+            yield b.select(["common"]).filter(pa.array(use, pa.bool_()))
+
+    found = reps.select("rep", "sig").mapInArrow(near, "q bigint, rep bigint, common array<int>")
+    by = Window.partitionBy("q").orderBy(F.xxhash64("rep"), "rep")
+    pairs = _util.cut(found.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= PARTNERS).drop("k"), "audit")
+    ids = pairs.select("q").unionByName(pairs.select(F.col("rep").alias("q"))).distinct().withColumnRenamed("q", "rep")  # AUDITED * (PARTNERS + 1) at most
+    sets = exact_sets(docs.withColumnRenamed("doc_id", "rep").join(F.broadcast(reps.select("rep", "cls").join(F.broadcast(ids), "rep")), "rep"), size)
+    sets = _util.cut(sets.dropDuplicates(["rep"]), "audit-sets")
+    both = pairs.join(sets.select(F.col("rep").alias("q"), F.col("shingles").alias("x")), "q").join(sets.select("rep", F.col("shingles").alias("y")), "rep")
+    got = [r.common for r in both.select("common", "x", "y").mapInArrow(alike, "common array<int>").collect()]
+    _util.drop(pairs, sets)
+    return np.array(got, dtype=np.int32).reshape(-1, TREES)
+
+
+def choose_depths(common: np.ndarray, threshold: float, target: float) -> tuple[list[int], float]:
+    """(length of the prefix in each tree, recall over the audited pairs): as long as the target allows by the model and by the audit."""
+    depths = [DEPTH] * TREES
+    while True:
+        model = 1 - math.prod(1 - threshold**d for d in depths)
+        recall = float((common >= np.array(depths)).any(axis=1).mean()) if len(common) else 1.0
+        if min(model, recall) >= target or max(depths) == 1:
+            return depths, recall
+        depths[depths.index(max(depths))] -= 1
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -145,7 +190,7 @@ def verified(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
         both = overlaps(sets).astype(np.float64)
         link = both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9
         np.fill_diagonal(link, False)
-        if side.max() != side.min():
+        if side.min() >= 0:  # two blocks meet, of which one may be empty here: links within a block are counted in its own task
             link &= side[:, None] != side[None, :]
         if not link.any():
             continue
@@ -177,32 +222,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, targ
     ids = every.select("doc_id", "cls").distinct()
     classes = _util.cut(ids.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
     reps = _util.cut(every.join(classes.select("cls", F.col("rep").alias("doc_id"), "size"), ["cls", "doc_id"]).dropDuplicates(["cls"]).select(F.col("doc_id").alias("rep"), "cls", "n", "size", "sig"), "reps")
-    depth = choose_depth(reps, threshold, target)
-    nodes = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.slice("sig", t * DEPTH + 1, depth)))).alias("node"))
+    depths, _ = choose_depths(audited(docs, reps, size, threshold), threshold, target)
+    nodes = reps.select("rep", F.explode(F.array(*[F.xxhash64(F.lit(t), F.slice("sig", t * DEPTH + 1, d)) for t, d in enumerate(depths)])).alias("node"))
     firsts = nodes.groupBy("node").agg(F.min("rep").alias("first"), F.count("*").alias("c")).filter("c > 1").select("node", "first")
     stars = nodes.join(firsts, "node").filter("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
     comps = components(stars)
     members = _util.cut(comps.select(F.col("node").alias("rep"), F.col("component").alias("comp")).join(reps.drop("sig"), "rep"), "members")
     blocks = _blocks(members, threshold)
-    _util.free_shuffles(spark)
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, size) for t in b.column("text").to_pylist()]
-            own = [_digest(s) == c for s, c in zip(sets, b.column("cls").to_pylist())]  # rows may repeat an id with other texts
-            names = [x for x in b.schema.names if x not in ("text", "cls")]
-            batch = pa.RecordBatch.from_arrays([*[b.column(x) for x in names], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*names, "shingles"])
-            yield batch.filter(pa.array(own))
 
-    texts = docs.withColumnRenamed("doc_id", "rep").join(blocks, "rep").select("rep", "comp", "size", "tasks", "cls", "text")
-    whole = texts.mapInArrow(shingles, "rep bigint, comp bigint, size bigint, tasks array<struct<task:bigint,side:int>>, shingles binary")
+    texts = docs.withColumnRenamed("doc_id", "rep").join(blocks, "rep")
+    whole = exact_sets(texts, size)
     dealt = whole.select("rep", "comp", "size", "shingles", F.explode("tasks").alias("t")).select("rep", "comp", "size", "shingles", F.col("t.task").alias("task"), F.col("t.side").alias("side"))
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
         return verified(frame, threshold)
 
     found = _util.cut(dealt.groupBy("task").applyInPandas(each, "rep bigint, links bigint, other bigint"), "links")
-    _util.free_shuffles(spark)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     final = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("rep"), "component")
     about = classes.join(links, "rep", "left").join(final, "rep", "left").select("cls", "rep", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
@@ -213,7 +248,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, targ
 
 
 def _blocks(members: DataFrame, threshold: float) -> DataFrame:
-    """(rep, comp, cls, size, tasks): the tasks that verify each member, and on which side of a pair of blocks it stands.
+    """(rep, comp, cls, size, tasks): the tasks that verify each member, and on which side of a pair of blocks it stands (-1: in the task of its own block).
 
     Small sets are packed together; of a large one, a cell holds the members of one size class, cut
     into blocks, and blocks of the same and of neighbouring size classes meet in pairs.
@@ -223,7 +258,7 @@ def _blocks(members: DataFrame, threshold: float) -> DataFrame:
     total = stats.filter(f"w <= {BLOCK}").agg(F.sum("w")).first()[0] or 0
     packs = max(1, math.ceil(total / BLOCK))
     placed = members.join(stats, "comp")
-    small = placed.filter(f"w <= {BLOCK}").select("rep", "comp", "cls", "size", F.array(F.struct(F.pmod(F.xxhash64("comp"), F.lit(packs)).cast("long").alias("task"), F.lit(0).alias("side"))).alias("tasks"))
+    small = placed.filter(f"w <= {BLOCK}").select("rep", "comp", "cls", "size", F.array(F.struct(F.pmod(F.xxhash64("comp"), F.lit(packs)).cast("long").alias("task"), F.lit(-1).alias("side"))).alias("tasks"))
     large = placed.filter(f"w > {BLOCK}").withColumn("cell", F.floor(F.log(F.col("n") + 0.5) / math.log(1 / threshold)).cast("long"))
     cells = large.groupBy("comp", "cell").agg(F.ceil(F.sum(weight) / BLOCK).cast("long").alias("nb"))
     for side, step in (("up", 1), ("down", -1)):
@@ -239,7 +274,7 @@ def _blocks(members: DataFrame, threshold: float) -> DataFrame:
 
     cell, a = F.col("cell"), F.col("a")
     tasks = F.concat(
-        F.transform(upto(F.col("nb")), lambda b: pair(cell, F.least(a, b), cell, F.greatest(a, b), (a > b))),
+        F.transform(upto(F.col("nb")), lambda b: pair(cell, F.least(a, b), cell, F.greatest(a, b), F.when(a == b, -1).otherwise((a > b).cast("int")))),
         F.transform(upto(F.col("up")), lambda b: pair(cell, a, cell + 1, b, F.lit(0))),
         F.transform(upto(F.col("down")), lambda b: pair(cell - 1, b, cell, a, F.lit(1))),
     )
