@@ -1,17 +1,20 @@
 """Language-model scoring by deleted interpolation.
 
-Maximum-likelihood n-gram estimates of all orders are mixed; the weights depend on how often
-the context was seen (buckets of powers of two) and come from expectation-maximisation on held-out counts: each training
-token in turn is held out, that is, taken off the counts that predict it.
+Maximum-likelihood n-gram estimates are mixed order by order: each is mixed with the mixture of the shorter ones, by a weight that depends
+on how often its context was seen (buckets of half powers of two). Weights come from expectation-maximisation on held-out counts: each training
+token in turn is held out, that is, taken off the counts that predict it. Training texts are scored in the same way, so that
+a text's own words don't vouch for it and its score can be held against that of any other.
 
 Texts are cut into chunks of bounded size. A chunk holds its distinct words (as 64-bit hashes) and
 the sequence of their positions. Counts are exchanged once per order: each chunk sends, for its distinct n-grams,
 its own training counts to the bucket of the n-gram's hash, and gets back the corpus totals in the
-same order. N-grams are summed within the chunk first, so that however frequent one is, a chunk sends it once.
+same order. N-grams are summed within the chunk first, so that however frequent one is, a chunk sends it once. The number of buckets
+follows from the bytes that they get.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -24,12 +27,13 @@ from pyspark.sql import functions as F
 
 from . import _util
 
-#: Characters in a chunk (one longer text makes a chunk of its own).
-CHUNK_CHARS = 12_000_000
+#: Words of the longest n-grams of ``query``.
+ORDER = 3
+#: Characters in a chunk (one longer text makes a chunk of its own), and bytes of n-gram hashes in a bucket, about.
+CHUNK_CHARS, BUCKET_BYTES = 5_000_000, 10_000_000
 END, BOS = 1, 2
-#: Cells of the held-out statistics: steps per factor of two in a likelihood ratio, and their number.
-STEPS, CELLS = 8, 512
-CONTEXTS = 48
+#: Cells of the held-out statistics: steps per factor of two in a likelihood ratio, and their number; buckets of context counts.
+STEPS, CELLS, CONTEXTS = 8, 768, 96
 
 
 class _Index(dict):
@@ -178,89 +182,95 @@ def _context(chunk: Chunk, counts: list[np.ndarray], k: int, texts: int) -> np.n
     return chunk.before(counts[k - 2], texts)  # every gram but those that close a text is followed by a word
 
 
-def fit(chunks: DataFrame, counts: DataFrame, order: int, tokens: int, types: int, texts: int, rounds: int = 60) -> np.ndarray:
-    """Mixture weights [context bucket, component]; components: uniform, then the orders from 1 up.
+class Mixture:
+    """The estimates of a chunk's positions, order by order."""
 
-    Only counts of cells (context bucket, ratio of each estimate to the uniform one) reach the driver; their number has
-    a fixed bound.
+    def __init__(self, tokens: int, types: int, texts: int, weights: list[np.ndarray] | None = None):
+        self.tokens, self.types, self.texts, self.weights = tokens, types, texts, weights or []
+
+    def step(self, chunk: Chunk, by: list[np.ndarray], k: int, less) -> tuple[np.ndarray, np.ndarray]:
+        """(context bucket, estimate of order k) by position, with ``less`` (0 or 1, or one of them for each position) taken off the counts."""
+        seen = np.maximum((np.full(len(by[0]), self.tokens) if k == 1 else _context(chunk, by, k, self.texts)) - less, 0)
+        return (2 * np.log2(seen + 1)).astype(np.int64), np.maximum(by[k - 1] - less, 0) / np.maximum(seen, 1)
+
+    def mixed(self, chunk: Chunk, by: list[np.ndarray], less) -> np.ndarray:
+        """The mixture of all orders whose weights are known."""
+        p = np.full(len(by[0]), 1 / (self.types + 1))
+        for k, w in enumerate(self.weights, 1):
+            bucket, estimate = self.step(chunk, by, k, less)
+            p += w[bucket] * (estimate - p)
+        return p
+
+
+def fit(chunks: DataFrame, parts: list[DataFrame], mixture: Mixture, rounds: int = 100) -> None:
+    """Learn the weights of the orders in turn, from 1 up, each with those below it fixed.
+
+    Only counts of cells (context bucket, ratio of the order's held-out estimate to the mixture below) reach the driver; their
+    number has a fixed bound. A context that was never seen has the weight 0.
     """
-    if order > 2:
-        raise ValueError("weights are fitted for orders 1 and 2")
+    for k in range(1, len(parts) + 1):
 
-    def each(chunk: Chunk, by: list[np.ndarray]) -> pd.DataFrame:
-        use = chunk.train
-        cell = np.zeros(int(use.sum()), dtype=np.int64)
-        bucket = np.zeros(len(cell), dtype=np.int64)
-        for k in range(1, order + 1):
-            seen = (np.full(len(by[0]), tokens) if k == 1 else _context(chunk, by, k, texts))[use] - 1
-            ratio = np.maximum(by[k - 1][use] - 1, 0) / np.maximum(seen, 1) * (types + 1)
+        def each(chunk: Chunk, by: list[np.ndarray], k: int = k) -> pd.DataFrame:
+            bucket, estimate = mixture.step(chunk, by, k, 1)
+            use = chunk.train
+            ratio = (estimate / mixture.mixed(chunk, by, 1))[use]
             level = np.where(ratio > 0, 1 + np.clip(np.rint(np.log2(np.maximum(ratio, 1e-300)) * STEPS) + CELLS // 4, 0, CELLS - 2), 0)
-            cell = cell * CELLS + level.astype(np.int64)
-            if k > 1:
-                bucket = np.log2(np.maximum(seen, 0) + 1).astype(np.int64)
-        cell, n = np.unique(bucket * CELLS**order + cell, return_counts=True)
-        return pd.DataFrame({"cell": cell, "n": n})
-
-    found = _per_chunk(chunks, counts, order, each, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    weights = np.full((CONTEXTS, order + 1), 1.0 / (order + 1))
-    if not len(found):
-        return weights
-    cell, n = found["cell"].to_numpy(), found["n"].to_numpy(dtype=float)
-    bucket, ratios = cell // CELLS**order, [np.ones(len(cell))]
-    for k in range(1, order + 1):
-        level = cell // CELLS ** (order - k) % CELLS
-        ratios.append(np.where(level > 0, 2.0 ** ((level - 1 - CELLS // 4) / STEPS), 0.0))
-    r = np.stack(ratios, axis=1)
-    # One count for each component keeps every weight above 0.
-    for _ in range(rounds):
-        post = weights[bucket] * r
-        post *= (n / post.sum(axis=1))[:, None]
-        new = np.ones_like(weights)
-        np.add.at(new, bucket, post)
-        weights = new / new.sum(axis=1, keepdims=True)
-    return weights
-
-
-def score(docs: DataFrame, order: int = 2) -> DataFrame:
+            cell, n = np.unique(bucket[use] * CELLS + level.astype(np.int64), return_counts=True)
+            return pd.DataFrame({"cell": cell, "n": n})
+
+        cells = _util.cut(_per_chunk(chunks, _together(parts[:k]), k, each, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")), "lm-cells")
+        found = cells.toPandas()
+        _util.drop(cells)
+        cell, n = found["cell"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=float)
+        bucket, level = cell // CELLS, cell % CELLS
+        ratio = np.where(level > 0, 2.0 ** ((level - 1 - CELLS // 4) / STEPS), 0.0)
+        total = np.bincount(bucket, weights=n, minlength=CONTEXTS)
+        w = np.full(CONTEXTS, 0.5)
+        for _ in range(rounds):  # one count for and against keeps every weight between 0 and 1
+            w = (1 + np.bincount(bucket, weights=n * w[bucket] * ratio / (w[bucket] * ratio + 1 - w[bucket]), minlength=CONTEXTS)) / (2 + total)
+        w[0] = 0.0
+        mixture.weights = [*mixture.weights, w]
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.filter("chunk >= 0").select("chunk", "bucket", "totals", "order")
+
+
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Base and model scores of every text; ``docs`` has doc_id, text and held (true: kept out of training).
 
-    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null texts count as empty: they consist of the end
-    alone. Repeated rows are scored each. Without training texts every word is unknown and
-    the score is that of the uniform estimate.
+    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, whole_score. ``score`` takes each token of a training text
+    off the counts that predict it; ``whole_score`` does not. Null texts count as empty: they consist of the end
+    alone. Null ids stay null; repeated rows are scored, and learned from, each. Without training texts every word is unknown and
+    the score is that of the uniform estimate. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     chunks = _util.cut(chunked(docs), "lm-chunks")
     texts = docs.filter(~F.col("held")).count()
-    buckets = max(16, chunks.count())
+    size = chunks.agg(F.sum(F.octet_length("vocab")).alias("words"), F.sum(F.aggregate("lens", F.lit(0).cast("bigint"), lambda a, n: a + n) * 8).alias("grams")).first()
     parts = []
     for k in range(1, order + 1):
+        most = (size.words if k == 1 else size.grams) or 0  # of the hashes that chunks send
+        buckets = max(16, math.ceil(most / BUCKET_BYTES))
         parts.append(_util.cut(totals(chunks, k, buckets).withColumn("order", F.lit(k)), f"lm-counts{k}"))
-        _util.free_shuffles(spark)
     row = parts[0].filter("chunk = -1").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     tokens, types = int(row.n or 0), int(row.v or 0)
-    counts = parts[0]
-    for p in parts[1:]:
-        counts = counts.unionByName(p)
-    counts = counts.filter("chunk >= 0").select("chunk", "bucket", "totals", "order")
-    weights = fit(chunks, counts, order, tokens, types, texts)
-    _util.free_shuffles(spark)
+    mixture = Mixture(tokens, types, texts)
+    fit(chunks, parts, mixture)
 
     def each(chunk: Chunk, by: list[np.ndarray]) -> pd.DataFrame:
-        p = [np.full(len(by[0]), 1 / (types + 1)), by[0] / max(tokens, 1)]
-        bucket = np.zeros(len(by[0]), dtype=np.int64)
-        for k in range(2, order + 1):
-            seen = _context(chunk, by, k, texts)
-            p.append(by[k - 1] / np.maximum(seen, 1))
-            bucket = np.log2(seen + 1).astype(np.int64)
-        mixed = sum(weights[bucket, j] * x for j, x in enumerate(p))
         base = np.log10((by[0] + 1) / (tokens + types + 1))
         at = chunk.starts
         return pd.DataFrame({
             "doc_id": pd.array(chunk.doc_ids, dtype="Int64"), "held_out": chunk.held, "n_tokens": chunk.lens, "n_known": np.add.reduceat((by[0] > 0).astype(np.int64), at), "train_tokens": tokens,
-            "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(np.log10(mixed), at),
+            "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(np.log10(mixture.mixed(chunk, by, chunk.train.astype(np.int64))), at), "whole_score": np.add.reduceat(np.log10(mixture.mixed(chunk, by, 0)), at),
         })
 
-    return _per_chunk(chunks, counts, order, each, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    out = _util.cut(_per_chunk(chunks, _together(parts), order, each, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, whole_score double"), "lm-scores")
+    _util.drop(chunks, *parts)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

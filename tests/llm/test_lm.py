@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 from specgraph.llm import lm
 
@@ -30,30 +31,74 @@ def test_model_is_a_distribution_and_beats_base(spark):
     assert got[0].score == got[7].score
 
 
-def test_weights_by_plain_em(spark):
-    """The same weights from an unbinned EM over every training token."""
-    rows = [(i, t, False) for i, t in enumerate(["a b a b a c", "a b b a", "c a b a b", "b a"] * 5)]
+def plain(rows, order):
+    """The same model by an unbinned EM over every training token, one order after the other."""
+    seqs = {i: [*lm.words(t), b" end"] for i, t, _ in rows}
+    train = [i for i, _, held in rows if not held]
+    pad = {i: [b" bos"] * (order - 1) + s for i, s in seqs.items()}
+    grams = lambda i, k: [tuple(pad[i][j - k + 1 : j + 1]) for j in range(order - 1, len(pad[i]))]
+    count = {k: Counter(g for i in train for g in grams(i, k)) for k in range(1, order + 1)}
+    context = {k: Counter(g[:-1] for i in train for g in grams(i, k)) for k in range(1, order + 1)}
+    v = len(count[1])
+    weights = {}
+
+    def mixed(i, less, upto):
+        out = []
+        for j in range(len(seqs[i])):
+            p = 1 / (v + 1)
+            for k in range(1, upto + 1):
+                g = grams(i, k)[j]
+                seen = max(context[k][g[:-1]] - less, 0)
+                w = weights[k].get(int(2 * math.log2(seen + 1)), 0.5) if seen else 0.0
+                p = w * max(count[k][g] - less, 0) / max(seen, 1) + (1 - w) * p
+            out.append(p)
+        return out
+
+    for k in range(1, order + 1):
+        events = []
+        for i in train:
+            for g, p in zip(grams(i, k), mixed(i, 1, k - 1)):
+                seen = context[k][g[:-1]] - 1
+                events.append((int(2 * math.log2(seen + 1)), max(count[k][g] - 1, 0) / max(seen, 1) / p))
+        w = dict.fromkeys({b for b, _ in events}, 0.5)
+        for _ in range(100):
+            post, n = Counter(), Counter()
+            for b, r in events:
+                post[b] += w[b] * r / (w[b] * r + 1 - w[b])
+                n[b] += 1
+            w = {b: (1 + post[b]) / (2 + n[b]) for b in w}
+        weights[k] = w
+    total = lambda i, less: sum(map(math.log10, mixed(i, less, order)))
+    return {i: (total(i, int(i in train)), total(i, 0)) for i in seqs}
+
+
+def test_weights_by_plain_em(spark, monkeypatch):
+    rows = [(i, t, i % 5 == 4) for i, t in enumerate(["a b a b a c", "a b b a", "c a b a b", "b a", "a b a c d e a b"] * 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
-    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
-    seqs = [[*lm.words(t), b" end"] for _, t, _ in rows]
-    uni, bi = Counter(w for s in seqs for w in s), Counter(p for s in seqs for p in zip([b" bos", *s], s))
-    ctx = Counter(h for s in seqs for h in [b" bos", *s[:-1]])
-    n, v = sum(uni.values()), len(uni)
-    events = [(int(math.log2(ctx[h])), (1 / (v + 1), (uni[w] - 1) / (n - 1), (bi[h, w] - 1) / max(ctx[h] - 1, 1))) for s in seqs for h, w in zip([b" bos", *s], s)]
-    weights = {b: [1 / 3] * 3 for b, _ in events}
-    for _ in range(60):
-        total = {b: [1.0] * 3 for b in weights}
-        for b, p in events:
-            z = sum(x * y for x, y in zip(weights[b], p))
-            for k in range(3):
-                total[b][k] += weights[b][k] * p[k] / z
-        weights = {b: [x / sum(t) for x in t] for b, t in total.items()}
-    for (i, _, _), s in zip(rows, seqs):
-        want = 0.0
-        for h, w in zip([b" bos", *s], s):
-            lam = weights.get(int(math.log2(ctx[h] + 1)), [1 / 3] * 3)
-            want += math.log10(lam[0] / (v + 1) + lam[1] * uni[w] / n + lam[2] * bi[h, w] / ctx[h])
-        assert abs(got[i] - want) < 0.03 * abs(want)
+    for order, chars in ((1, 10**7), (2, 10**7), (3, 10**7), (3, 20), (4, 10**7)):
+        monkeypatch.setattr(lm, "CHUNK_CHARS", chars)
+        monkeypatch.setattr(lm, "BUCKET_BYTES", chars)
+        want = plain(rows, order)
+        for r in lm.score(docs, order).collect():
+            for got, known in zip((r.score, r.whole_score), want[r.doc_id]):
+                assert abs(got - known) < 0.02 * abs(known)
+
+
+def test_texts_that_repeat_stand_out(spark):
+    """A text seen twice in training scores higher a token than one of the same words seen once."""
+    random.seed(3)
+    some = [" ".join(random.choices([f"w{i}" for i in range(400)], k=60)) for _ in range(200)]
+    rows = [(i, t, False) for i, t in enumerate(some + some[:30])]
+    got = {r.doc_id: r.score / r.n_tokens for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string, held boolean")).collect()}
+    assert min(got[i] for i in range(30)) > max(got[i] for i in range(30, 200)) + 0.3
+
+
+def test_odd_rows(spark):
+    """Null and repeated ids, ties, and columns with the names of the result."""
+    rows = [(None, "a b", False), (None, None, True), (3, "a b", False), (3, "a b", False), (3, "c", True), (4, "a  b\n", False)]
+    docs = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, held boolean, score string, chunk int")
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in lm.score(docs).collect()), key=str)
+    assert got == sorted([(None, False, 3, 3, 12), (None, True, 1, 1, 12), (3, False, 3, 3, 12), (3, False, 3, 3, 12), (3, True, 2, 1, 12), (4, False, 3, 3, 12)], key=str)
 
 
 def test_empty_table(spark):
