@@ -2,7 +2,7 @@
 
 A shard is a sequence of frames in the TFRecord layout: length (u64), masked CRC-32C of the
 length (u32), payload, masked CRC-32C of the payload (u32), all little-endian. A payload is the document id
-(i64), the number of ids (u32), the bytes per id (u32: 2 or 4) and the ids. Beside every shard
+(i64), the number of ids (u32), the bytes per id (u32: 2 or 4; 256 more where the document has no id) and the ids. Beside every shard
 ``X.rec`` lies ``X.idx``: one (offset u64, length u64) per record, so that a reader
 can fetch records in any order. Shards cover ascending ranges of document ids and
 records ascend within a shard. A shard is written under another name and renamed when whole, so that
@@ -11,6 +11,7 @@ a task that runs again, or twice, leaves one good copy.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -29,7 +30,7 @@ LANE = 256
 GROUP_CHARS = 2_000_000
 #: Whitespace-delimited pieces whose ids a worker remembers.
 KEPT_PIECES = 700_000
-_HEAD, _HEAD_BYTES = "<qII", 16
+_HEAD, _HEAD_BYTES, _NO_ID = "<qII", 16, 256
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -103,13 +104,13 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
 
 
-def payload(doc_id: int, ids: bytes, width: int) -> bytes:
-    return struct.pack(_HEAD, doc_id, len(ids) // width, width) + ids
+def payload(doc_id: int | None, ids: bytes, width: int) -> bytes:
+    return struct.pack(_HEAD, doc_id or 0, len(ids) // width, width | (_NO_ID if doc_id is None else 0)) + ids
 
 
-def parse(blob: bytes) -> tuple[int, np.ndarray]:
-    doc_id, n, width = struct.unpack_from(_HEAD, blob)
-    return doc_id, np.frombuffer(blob, dtype=f"<u{width}", count=n, offset=_HEAD_BYTES)
+def parse(blob: bytes) -> tuple[int | None, np.ndarray]:
+    doc_id, n, kind = struct.unpack_from(_HEAD, blob)
+    return None if kind & _NO_ID else doc_id, np.frombuffer(blob, dtype=f"<u{kind & 255}", count=n, offset=_HEAD_BYTES)
 
 
 class ShardReader:
@@ -185,7 +186,11 @@ class PieceTokenizer:
         self.lib = Tokenizer.from_file(path)
         self.width = width or (2 if self.lib.get_vocab_size() <= 1 << 16 else 4)
         self.letters = _byte_letters()
-        self.normalise, self.model = self.lib.normalizer.normalize_str, self.lib.model.tokenize
+        about = json.loads(self.lib.to_str())
+        #: Whether pieces may be encoded apart, and words and marks within them; other vocabularies' texts go through the library whole.
+        self.apart = {k: about[k] for k in ("normalizer", "pre_tokenizer")} == _KNOWN_STEPS and not any(a["normalized"] or " " in a["content"] for a in about["added_tokens"])
+        if self.apart:
+            self.normalise, self.model = self.lib.normalizer.normalize_str, self.lib.model.tokenize
         self.known = _Known(self._piece)
 
     def _piece(self, piece: str) -> bytes:
@@ -202,12 +207,26 @@ class PieceTokenizer:
         return np.array(self.lib.encode(piece, add_special_tokens=False).ids, dtype=f"<u{self.width}").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.apart:
+            return [np.array(self.lib.encode(x, add_special_tokens=False).ids, dtype=f"<u{self.width}").tobytes() for x in texts]
         if len(self.known) > KEPT_PIECES:
             self.known = _Known(self._piece)
         get = self.known.__getitem__
         return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
+#: Steps before the model for which a text's ids are those of its pieces between spaces in a row. Fixed values.
+_KNOWN_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 _TOKENIZERS: dict[str, PieceTokenizer] = {}
 
 
@@ -243,13 +262,14 @@ def write(docs: DataFrame, path: str, end_id: int, to: str, shards: int | None =
     """Write the ids of every document to record shards under ``to``; returns a small table of the shards.
 
     Shards are ranges of ``doc_id`` (null ids first), so that reading them by name gives ascending ids; rows that repeat an id
-    are written each. Columns of the result: shard, path, n_records, n_tokens. Runs when
+    are written each, in the order of their texts' hashes and then of the texts, so that one id may fill several shards. Columns of the result: shard, path, n_records, n_tokens. Runs when
     called. An empty table gives no shards.
     """
     spark = docs.sparkSession
     n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Dealt out before tokenising: to find the ranges, Spark runs what stands before twice.
-    ranges = _util.only(docs, "doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    order = "doc_id", F.xxhash64("text"), "text"
+    ranges = _util.only(docs, "doc_id", "text").repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
     dealt = tokenised(ranges, path, end_id).withColumn("shard", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +286,7 @@ def write(docs: DataFrame, path: str, end_id: int, to: str, shards: int | None =
                 name, own = f"{folder}/shard-{shard:06d}", uuid.uuid4().hex
                 rec, idx = fs.open_output_stream(f"{name}.{own}.rec.part"), fs.open_output_stream(f"{name}.{own}.idx.part")
             width = b.column("width")[0].as_py()
-            blobs = [payload(-1 if d is None else d, x, width) for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist())]
+            blobs = [payload(d, x, width) for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist())]
             tokens += sum((len(x) - _HEAD_BYTES) // width for x in blobs)
             for f in frames(blobs):
                 rec.write(f)
@@ -317,6 +337,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     to = _util.new_path(spark, "records")
     shards = write(_util.read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, to)
-    _util.free_shuffles(spark)
     back = read_back(shards)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -69,3 +69,30 @@ def test_repeated_ids(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (0, "b c")], "doc_id long, text string")
     got = sorted((r.doc_id, r.start) for r in records.read_back(records.write(docs, PATH, 2, _util.new_path(spark, "records-two"))).collect())
     assert got == [(0, 0), (1, 3), (1, 5)]
+
+
+def test_null_ids_ties_and_names(spark):
+    """Null ids come first and stay null beside -1; rows that repeat an id have one order; other columns may have any name."""
+    rows = [(None, "no id"), (-1, "minus one"), (5, "b"), (5, "a a"), (5, None), (None, ""), (5, "b"), (6, "c")]
+    seen = set()
+    for shards in (1, 3):
+        for order in (rows, rows[::-1]):
+            docs = spark.createDataFrame([(*r, 1, 2) for r in order], "doc_id long, text string, ids int, width int")
+            back = records.read_back(records.write(docs, PATH, 2, _util.new_path(spark, "records-ties"), shards=shards)).collect()
+            seen.add(tuple(sorted((r.start, r.doc_id, r.n_tokens, bytes(r.ids)) for r in back)))
+    assert len(seen) == 1
+    ids = [r[1] for r in seen.pop()]
+    assert ids == [None, None, -1, 5, 5, 5, 5, 6]
+
+
+def test_other_vocabularies_go_whole(tmp_path):
+    import json
+
+    about = json.loads(Tokenizer.from_file(PATH).to_str())
+    about["normalizer"] = {"type": "Replace", "pattern": {"String": "a b"}, "content": "ab"}
+    path = str(tmp_path / "other.json")
+    with open(path, "w") as f:
+        json.dump(about, f)
+    own = records.PieceTokenizer(path)
+    assert not own.apart and records.PieceTokenizer(PATH).apart
+    assert np.frombuffer(own.encode(["a b c"])[0], dtype=f"<u{own.width}").tolist() == Tokenizer.from_file(path).encode("a b c", add_special_tokens=False).ids
