@@ -39,19 +39,23 @@ def _line(value: str | None) -> str:
     return " ".join((value or "about:blank").split()) or "about:blank"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> Iterator[bytes]:
-    """One record in pieces: WARC headers, block, and the blank lines after it."""
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {_line(url)}", f"WARC-Payload-Digest: sha1:{digest}"]
+def record(page_id: int | None, url: str | None, payload, refers_to: int | None, revisit: bool, date: str, size: int | None = None, digest: str | None = None) -> Iterator[bytes]:
+    """One record in pieces: WARC headers, block, and the blank lines after it.
+
+    ``payload`` is any buffer; it is cut, never copied whole. A revisit needs none where its size and hex SHA-1 are given.
+    """
+    view = memoryview(payload if payload is not None else b"")
+    size = len(view) if size is None else size
+    sha1 = bytes.fromhex(digest) if digest else hashlib.sha1(view).digest()
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {_line(url)}", f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}"]
     if revisit:
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
-    length = len(head) + (0 if revisit else len(payload))
+    length = len(head) + (0 if revisit else size)
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {length}"]
     yield ("\r\n".join(lines) + "\r\n\r\n").encode() + head
     if not revisit:
-        view = memoryview(payload)
-        for k in range(0, len(payload), CHUNK):
+        for k in range(0, size, CHUNK):
             yield view[k : k + CHUNK]
     yield b"\r\n\r\n"
 
@@ -157,16 +161,35 @@ def chunks_of(stream: Stream, chunk: int = CHUNK) -> Iterator[dict]:
             raise ValueError(f"the payload of {about['record_id']} does not match its digest")
 
 
-def planned(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """(page_id, url, payload, refers_to, revisit): what each page's record is to be.
+def planned(pages: DataFrame, least: int = 1000) -> tuple[DataFrame, list[DataFrame]]:
+    """(page_id, url, payload, size, digest, refers_to, revisit): what each page's record is to be; and the tables written on the way, to drop.
 
     Of equal payloads of ``least`` bytes or more the one with the largest page_id is the response. Null html is an empty payload;
-    rows with a null page_id give records too, and rows that repeat the largest page_id are responses all.
+    rows with a null page_id give records too, and rows that repeat the largest page_id are responses all; so are all where no copy has an id.
+
+    Payloads stay where they are read. Digests alone are grouped and joined; a revisit has no payload, short payloads are in no
+    join, and of the others only those that a filter by hash of the revisits cannot tell from one are checked against these with their payloads.
     """
+    spark = pages.sparkSession
     rows = _util.only(pages, "page_id", "url", "html").select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("long", F.octet_length("payload") >= least).withColumn("digest", F.when(F.col("long"), F.sha1("payload")))
-    best = rows.filter("long").groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "best")
-    return rows.join(best, "digest", "left").select("page_id", "url", "payload", F.when(F.col("best") != F.coalesce("page_id", F.lit(-(2**63))), F.col("best")).alias("refers_to"), F.coalesce(F.col("best") != F.coalesce("page_id", F.lit(-(2**63))), F.lit(False)).alias("revisit"))
+    rows = rows.select("*", F.octet_length("payload").alias("size")).withColumn("digest", F.when(F.col("size") >= least, F.sha1("payload")))
+    heads = _util.cut(rows.filter("digest is not null").select("page_id", "url", "size", "digest"), "heads")
+    best = heads.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("copies")).filter("copies > 1 and best is not null").select("digest", "best")
+    revisits = _util.cut(heads.join(best, "digest").filter(~F.col("best").eqNullSafe(F.col("page_id"))).select("page_id", "url", "size", "digest", F.col("best").alias("refers_to")), "revisits")
+    key = F.xxhash64("digest", "page_id")
+    seen, one = _util.among(revisits, key)
+    again = revisits.select(F.col("digest").alias("d"), F.col("page_id").alias("p"))
+    same = (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p"))
+    doubtful = _util.cut(heads.filter(seen).join(again, same, "left_anti"), "doubtful")  # responses that the filter takes for revisits
+    doubt, two = _util.among(doubtful, key)
+    sure = rows.filter(F.col("digest").isNull() | ~seen)
+    checked = rows.filter(F.col("digest").isNotNull() & seen & doubt).join(again, same, "left_anti")
+    answers = sure.unionByName(checked).withColumns({"refers_to": F.lit(None).cast("bigint"), "revisit": F.lit(False)})
+    others = revisits.withColumns({"payload": F.lit(None).cast("binary"), "revisit": F.lit(True)})
+    names = ["page_id", "url", "payload", "size", "digest", "refers_to", "revisit"]
+    plan = answers.select(*names).unionByName(others.select(*names))
+    _util.forget(spark, one, two)
+    return plan, [heads, revisits, doubtful]
 
 
 def write(pages: DataFrame, to: str, least: int = 1000, date: str = "1970-01-01T00:00:00Z", level: int = 3) -> DataFrame:
@@ -184,9 +207,11 @@ def write(pages: DataFrame, to: str, least: int = 1000, date: str = "1970-01-01T
                 fs.create_dir(folder, recursive=True)
                 name = f"part-{uuid.uuid4().hex}.warc.gz"
                 out = fs.open_output_stream(f"{folder}/{name}")
-            for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "revisit"))):
+            payloads = b.column("payload")
+            about = [b.column(c).to_pylist() for c in ("page_id", "url", "size", "digest", "refers_to", "revisit")]
+            for k, (page_id, url, size, digest, refers_to, revisit) in enumerate(zip(*about)):
                 z = zlib.compressobj(level, zlib.DEFLATED, 31)
-                for piece in record(*row, date):
+                for piece in record(page_id, url, payloads[k].as_buffer(), refers_to, revisit, date, size, digest):
                     out.write(z.compress(piece))
                 out.write(z.flush())
                 n += 1
@@ -194,7 +219,10 @@ def write(pages: DataFrame, to: str, least: int = 1000, date: str = "1970-01-01T
             out.close()
             yield pa.RecordBatch.from_pylist([{"path": f"{to}/{name}", "n_records": n}], schema=pa.schema([("path", pa.string()), ("n_records", pa.int64())]))
 
-    return _util.cut(planned(pages, least).mapInArrow(run, "path string, n_records bigint"), "archives")
+    plan, steps = planned(pages, least)
+    archives = _util.cut(plan.mapInArrow(run, "path string, n_records bigint"), "archives")
+    _util.drop(*steps)
+    return archives
 
 
 def read(archives: DataFrame, chunk: int = CHUNK, data: bool = True) -> DataFrame:
@@ -228,7 +256,6 @@ def read(archives: DataFrame, chunk: int = CHUNK, data: bool = True) -> DataFram
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write(_util.read(spark, sf_dir, "pages"), _util.new_path(spark, "warc"))
-    _util.free_shuffles(spark)
     records = read(archives, data=False).filter("last")
     number = F.nullif(F.regexp_extract("record_id", r":(-?\d+)>$", 1), F.lit("")).cast("long")
     target = F.nullif(F.regexp_extract(F.coalesce("refers_to", F.lit("")), r":(-?\d+)>$", 1), F.lit("")).cast("long")

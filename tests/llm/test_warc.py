@@ -42,3 +42,20 @@ def test_damage_is_noticed():
         list(warc.chunks_of(warc.Stream(io.BytesIO(raw.replace(b"xxx", b"xyx", 1))), 512))
     with pytest.raises(ValueError, match="ends within"):
         list(warc.chunks_of(warc.Stream(io.BytesIO(raw[:-900])), 512))
+
+
+def test_query_with_several_chunks(spark, tmp_path, monkeypatch):
+    """The query's columns, with payloads over several chunks and a filter so full that every long payload is checked exactly."""
+    rows = [*ROWS[:10], (11, "u", "z" * 3_000_000), (12, None, "é" * 499), (13, None, "é" * 499), (14, None, "é" * 500), (15, None, "é" * 500), *[(100 + i, "u", "hot" * 400) for i in range(60)], *[(200 + i, "u", f"{i} own " * 300) for i in range(60)]]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    data = [(i, (t or "").encode()) for i, _, t in rows]
+    best = {}
+    for i, d in data:
+        if len(d) >= 1000 and i is not None:
+            best[d] = max(best.get(d, i), i)
+    want = sorted(((i, len(d), hashlib.sha1(d).hexdigest(), "revisit" if best.get(d, i) != i else "response", best[d] if best.get(d, i) != i else None) for i, d in data), key=str)
+    for most in (28, 10):
+        monkeypatch.setattr(_util, "MOST_BITS", most)
+        got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.query(spark, str(tmp_path)).collect()), key=str)
+        assert got == want
+    assert sum(r[3] == "revisit" for r in want) > 60
