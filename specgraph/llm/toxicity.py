@@ -7,6 +7,7 @@ labels alone, through the noisy-or, and then tell which sentences offend.
 
 from __future__ import annotations
 
+import multiprocessing
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 from . import _util
 from .quality import labelled
 
-#: Labelled documents that a model is fitted on, at most; documents of these a feature must be in.
-SAMPLE, LEAST = 6000, 8
-KEPT_WORDS = 500_000
+#: Labelled documents that a model is fitted on, and characters of their texts, at most; documents of these a feature must be in.
+SAMPLE, SAMPLE_CHARS, LEAST = 6000, 32_000_000, 8
+KEPT_WORDS = 200_000
 _ENDS = ".!?⏎"
 _EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "⏎¡¿«»“”"
 
@@ -177,10 +178,49 @@ def fit(texts: list[str | None], label: np.ndarray, rounds: int = 150, rate: flo
     return Model({int(n): float(x) for n, x in zip(names[use], w[:m]) if abs(x) > 1e-3}, float(w[m]))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on labelled documents for which ``train_rows`` (a condition on doc_id) holds; at most ``sample`` of them reach the driver."""
-    rows = labelled(docs, labels, label, train_rows, sample).toPandas().sort_values(["doc_id", "text"])
-    return fit(rows["text"].tolist(), rows["label"].to_numpy())
+def fit_apart(texts: list[str | None], label: np.ndarray) -> Model:
+    """``fit`` in a process of its own, so that a worker that goes on keeps none of the memory that it takes."""
+    fork = multiprocessing.get_context("fork")
+    ours, theirs = fork.Pipe(duplex=False)
+
+    def work() -> None:
+        model = fit(texts, label)
+        theirs.send((model.weights, model.bias))
+
+    child = fork.Process(target=work)
+    child.start()
+    theirs.close()
+    try:
+        return Model(*ours.recv())
+    except EOFError:
+        raise RuntimeError("the fit ended without a result") from None
+    finally:
+        child.join()
+
+
+def train(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on labelled documents for which ``train_rows`` (a condition on doc_id) holds: at most ``sample`` of them, and of these, by the hash of their ids, those whose whole texts fit into ``chars``.
+
+    The fit is one task of bounded size on an executor; the driver gets the weights. A document with several labels has the largest; null labels
+    and others than 0 and 1 don't count; rows that repeat an id are learned from each. Without any labelled text every text is clean.
+    """
+    _util.tune(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, left = [], chars
+        for b in batches:
+            for doc_id, text, mark in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "label"))):
+                if len(text or "") <= left:
+                    rows.append((doc_id, text, mark))
+                    left -= len(text or "")
+        rows.sort(key=lambda r: (r[0], r[1] or ""))
+        model = fit_apart([r[1] for r in rows], np.array([r[2] for r in rows], dtype=np.int64))
+        names = [None, *model.weights]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([model.bias, *model.weights.values()], pa.float64())], names=["feature", "weight"])
+
+    one = labelled(docs, labels, label, train_rows, sample).select("doc_id", "text", "label").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
+    found = one.mapInArrow(run, "feature bigint, weight double").collect()
+    return Model({r.feature: r.weight for r in found if r.feature is not None}, next((r.weight for r in found if r.feature is None), -12.0))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
