@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from . import _util
 
 #: Characters of text whose pieces are replayed together, and pieces kept before a worker starts anew.
-CORPUS_CHARS = 6_000_000
-KEPT_PIECES = 800_000
+CORPUS_CHARS = 3_000_000
+KEPT_PIECES = 400_000
 
 
 def load_ranks(path: str) -> list[bytes]:
