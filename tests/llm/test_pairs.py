@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from specgraph.llm import components, decontam, line_dedup, ngram_join
@@ -83,6 +85,31 @@ def test_ngram_join(spark, monkeypatch):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i in sets if group[i] == i} | {None}
 
 
+def test_ngram_join_empty_blocks(spark, monkeypatch):
+    """Pairs of long texts in components above a block: many blocks have one member or none, on whichever side."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 1500)
+    for seed in range(3):
+        random.seed(seed)
+        docs = []
+        for k in range(8):
+            t = text(random.choice((1000, 2000, 4000)))
+            docs += [(10 * k + j, edit(t, j * 5)) for j in range(random.choice((2, 2, 3)))]
+        sets = {i: shingles(t) for i, t in docs}
+        pairs = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+        got = {r.doc_id: (r.n_links, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        group = brute_groups(pairs, sets)
+        assert got == {i: (sum(i in p for p in pairs), group[i]) for i in sets} and len(pairs) >= 8
+
+
+def test_prefixes():
+    deep = np.full((3, ngram_join.TREES), ngram_join.DEPTH)
+    depths, recall = ngram_join.choose_depths(deep, 0.8, 0.9999)
+    assert recall == 1 and 1 - np.prod([1 - 0.8**d for d in depths]) >= 0.9999 and len(set(depths)) > 1
+    deep[2] = 1  # a pair that only prefixes of one value find
+    depths, recall = ngram_join.choose_depths(deep, 0.8, 0.9999)
+    assert recall == 1 and min(depths) == 1
+
+
 def brute_lines(docs):
     seen, gone = [], {}
     for i, t in sorted(d for d in docs if d[0] is not None and d[1] is not None):
@@ -110,6 +137,20 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df).columns == df.columns and line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_large_group(spark):
+    """One group of near copies, too far apart for one representative, and lines that share rare words with it and no more."""
+    base = [f"rare{i}" for i in range(40)]
+    near = [" ".join(f"own{k}x{j}" if random.random() < 0.07 else w for j, w in enumerate(base)) for k in range(2000)]
+    other = [" ".join(base[k % 40 : k % 40 + 3] + random.choices(VOCAB, k=30)) for k in range(300)]
+    lines = near + other
+    random.shuffle(lines)
+    docs = [(i, "\n".join(lines[i * 23 : i * 23 + 23])) for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: list(r.removed) for r in line_dedup.removed_lines(df).collect()}
+    want = brute_lines(docs)
+    assert {i: v for i, v in got.items() if v} == want and sum(map(len, want.values())) > 1500
+
+
 def test_components(spark):
     ids = list(range(60))
     pairs = [(random.choice(ids), random.choice(ids)) for _ in range(35)] + [(i, i + 1) for i in range(100, 130)] + [(5, 5), (7, None)]
@@ -118,3 +159,7 @@ def test_components(spark):
     touched = {x for a, b in pairs if None not in (a, b) and a != b for x in (a, b)}
     assert got == {i: want[i] for i in touched}
     assert components.components(spark.createDataFrame([], "a long, b long")).select(F.count("*")).first()[0] == 0
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.components(chain, rounds=1)
+    assert {r.component for r in components.components(chain).collect()} == {0}
