@@ -2,8 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept and returns a DataFrame;
 ``run`` writes each stage's result as Parquet to the shared folder and rereads it for the next. All stages but the
-last return the columns of ``documents``. Where texts change, ``n_chars`` is their new length. The stage of line dedup
-keeps documents that lose all lines; ``run`` drops them there, so that of exact copies one document is left.
+last return the columns of ``documents``. Where texts change, ``n_chars`` is their new length.
+
+Odd rows have defined results in every stage: null and empty texts stay (as documents without words), rows without an id
+stay, rows that repeat an id stay or go together (by their texts in the first stage), empty tables give empty tables, and further
+columns, whatever their names, are carried along up to the last stage. A document that loses all its lines in line dedup, an exact copy
+of an earlier one above all, goes there.
 """
 
 from __future__ import annotations
@@ -20,9 +24,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.keep_clean(docs, model)
 
 
-def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, emptied: bool = True) -> DataFrame:
-    """All documents, without the lines that repeat or nearly repeat an earlier one; without ``emptied`` less those that lose all lines."""
-    out = line_dedup.dedup_lines(docs, emptied=emptied)
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat or nearly repeat an earlier one; those that had lines and lose them all go."""
+    out = line_dedup.dedup_lines(docs, emptied=False)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
@@ -57,8 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _util.read(spark, sf_dir, "documents")
+    last = None
     for name, stage in STAGES:
-        how = {"emptied": False} if name == "line_dedup" else {}
-        docs = _util.cut(stage(spark, docs, sf_dir, **how), f"pipeline-{name}")
-        _util.free_shuffles(spark)
+        docs = _util.cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            _util.drop(last)
+        last = docs
     return docs
