@@ -18,7 +18,7 @@ def _g(s, d):
     return load(s, d, "g_nodes"), load(s, d, "g_edges")
 
 
-def _customers(s, d, which="c_custkey % 100 = 1"):
+def _customers(s, d, which="c_custkey IS NOT NULL"):
     return load(s, d, "customer").filter(which).select(F.concat(F.lit("customer_"), "c_custkey").alias("node_id"))
 
 
@@ -48,9 +48,6 @@ QUERIES = {
     "jn02_induced": lambda s, d: A.induced(load(s, d, "g_edges"), load(s, d, "g_nodes").filter("node_type IN ('Country', 'Location', 'SystemComponent')")),
     "jn03_expand": lambda s, d: A.neighbours(load(s, d, "g_edges"), _customers(s, d)).filter("depth > 0"),
     "jn04_khop": lambda s, d: A.neighbours(load(s, d, "g_edges"), _customers(s, d), 3, "out"),
-    # The same from all customers; the SQL twins start at one in a hundred.
-    "jn03_expand_whole": lambda s, d: A.neighbours(load(s, d, "g_edges"), _customers(s, d, "c_custkey IS NOT NULL")).filter("depth > 0"),
-    "jn04_khop_whole": lambda s, d: A.neighbours(load(s, d, "g_edges"), _customers(s, d, "c_custkey IS NOT NULL"), 3, "out"),
     "jn04_khop_in": lambda s, d: A.neighbours(load(s, d, "g_edges").filter("rel_type <> 'USES'"), load(s, d, "g_nodes").filter("node_type = 'Location'"), 2, "in"),
     "gr02_flow_edges": lambda s, d: A.flow_edges(*_g(s, d)),
     "gr03_entries": lambda s, d: A.entries(load(s, d, "g_nodes"), A.flow_edges(*_g(s, d))),
@@ -59,7 +56,7 @@ QUERIES = {
     "jn25_siblings": lambda s, d: A.siblings(load(s, d, "g_nodes").filter("node_type = 'DataObject'"), load(s, d, "g_edges")).select("parent", "node_type", F.concat_ws(",", "members").alias("members")),
     "agg07_top06_top_types": lambda s, d: A.top_types(load(s, d, "g_nodes").withColumn("community", F.pmod(F.length("name"), F.lit(7))), "community").select("community", "size", F.concat_ws(",", "types").alias("types")),
     "top01_page": lambda s, d: A.page(load(s, d, "g_nodes"), 300, 600, "action"),
-    "prj15_edge_ids": lambda s, d: A.edge_ids(load(s, d, "g_edges").filter("rel_type = 'PART_OF'")),
+    "prj15_edge_ids": lambda s, d: A.edge_ids(load(s, d, "g_edges").unionByName(load(s, d, "lineitem").select(F.concat(F.lit("supplier_"), "l_suppkey").alias("src_id"), F.concat(F.lit("part_"), "l_partkey").alias("dst_id"), F.lit("PRODUCES").alias("rel_type")))),
     "prj10_node_roles": lambda s, d: _roles(s, d)[0].select("node_id", "role", "testable", "confidence", "decided_by"),
     "prj11_jn10_edge_roles": lambda s, d: _roles(s, d)[1].select("src_id", "dst_id", "rel_type", "role"),
     "prj09_testable": lambda s, d: _roles(s, d)[0].filter("testable").select("node_id"),
@@ -86,8 +83,8 @@ SQL = {
     "gr01_components": f"{_G}, {_CC} SELECT * FROM co",
     "gr01_component_summary": f"{_G}, {_CC} SELECT count(*) AS components, max(n) AS largest, CAST(sum(n) AS BIGINT) AS nodes FROM (SELECT component, count(*) AS n FROM co GROUP BY 1)",
     "jn02_induced": f"{_G} SELECT e.* FROM g_edges e WHERE src_id IN (SELECT node_id FROM g_nodes WHERE node_type IN ('Country', 'Location', 'SystemComponent')) AND dst_id IN (SELECT node_id FROM g_nodes WHERE node_type IN ('Country', 'Location', 'SystemComponent'))",
-    "jn03_expand": f"{_E}, seeds AS (SELECT concat('customer_', c_custkey) AS node_id FROM customer WHERE c_custkey % 100 = 1), e AS (SELECT src_id AS a, dst_id AS b FROM g_edges UNION ALL SELECT dst_id, src_id FROM g_edges) SELECT DISTINCT b AS node_id, 1 AS depth FROM e WHERE a IN (FROM seeds) AND b NOT IN (FROM seeds)",
-    "jn04_khop": f"{_E}, seeds AS (SELECT concat('customer_', c_custkey) AS node_id FROM customer WHERE c_custkey % 100 = 1), e AS (SELECT src_id AS a, dst_id AS b FROM g_edges), {_KHOP.format(k=3)} SELECT node_id, min(depth) AS depth FROM r GROUP BY node_id",
+    "jn03_expand": f"{_E}, seeds AS (SELECT concat('customer_', c_custkey) AS node_id FROM customer), e AS (SELECT src_id AS a, dst_id AS b FROM g_edges UNION ALL SELECT dst_id, src_id FROM g_edges) SELECT DISTINCT b AS node_id, 1 AS depth FROM e WHERE a IN (FROM seeds) AND b NOT IN (FROM seeds)",
+    "jn04_khop": f"{_E}, seeds AS (SELECT concat('customer_', c_custkey) AS node_id FROM customer), e AS (SELECT src_id AS a, dst_id AS b FROM g_edges), {_KHOP.format(k=3)} SELECT node_id, min(depth) AS depth FROM r GROUP BY node_id",
     "jn04_khop_in": f"{_G}, seeds AS (SELECT node_id FROM g_nodes WHERE node_type = 'Location'), e AS (SELECT dst_id AS a, src_id AS b FROM g_edges WHERE rel_type <> 'USES'), {_KHOP.format(k=2)} SELECT node_id, min(depth) AS depth FROM r GROUP BY node_id",
     "gr02_flow_edges": f"{_G}, {_FLOW} SELECT * FROM fl",
     "gr03_entries": f"{_G}, {_FLOW} SELECT DISTINCT src_id AS node_id, 2 AS tier FROM fl JOIN g_nodes ON node_id = src_id WHERE node_type = 'Actor'",
@@ -96,7 +93,7 @@ SQL = {
     "jn25_siblings": f"{_G} SELECT parent, node_type, string_agg(node_id, ',' ORDER BY node_id) AS members FROM (SELECT DISTINCT src_id AS parent, node_type, node_id FROM g_edges JOIN g_nodes ON node_id = dst_id WHERE node_type = 'DataObject' AND node_id NOT IN (SELECT src_id FROM g_edges)) t GROUP BY 1, 2 HAVING count(*) >= 3",
     "agg07_top06_top_types": f"{_N}, c AS (SELECT CAST(length(name) % 7 AS INT) AS community, node_type, count(*) AS n FROM g_nodes GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY community) AS size, row_number() OVER (PARTITION BY community ORDER BY n DESC, node_type) AS rn FROM c) SELECT community, CAST(max(size) AS BIGINT) AS size, string_agg(node_type, ',' ORDER BY rn) AS types FROM r WHERE rn <= 3 GROUP BY community",
     "top01_page": f"{_N} SELECT * FROM g_nodes WHERE lower(node_type) = 'action' ORDER BY node_id LIMIT 300 OFFSET 600",
-    "prj15_edge_ids": f"{_E} SELECT *, 'edge:' || src_id || '-' || rel_type || '->' || dst_id || ':' || (row_number() OVER (PARTITION BY src_id, dst_id, rel_type) - 1) AS edge_id FROM g_edges WHERE rel_type = 'PART_OF'",
+    "prj15_edge_ids": f"{_E} SELECT *, 'edge:' || src_id || '-' || rel_type || '->' || dst_id || ':' || (row_number() OVER (PARTITION BY src_id, dst_id, rel_type) - 1) AS edge_id FROM (SELECT * FROM g_edges UNION ALL SELECT concat('supplier_', l_suppkey), concat('part_', l_partkey), 'PRODUCES' FROM lineitem) e",
     "prj10_node_roles": f"{_G}, {_ROLES} SELECT node_id, role, role IN ({_list(R.TESTABLE)}) AS testable, CASE decided_by WHEN 'type' THEN 0.95::DOUBLE WHEN 'name' THEN 0.8::DOUBLE ELSE 0.3::DOUBLE END AS confidence, decided_by FROM nr",
     "prj11_jn10_edge_roles": f"{_G}, {_ROLES} SELECT * FROM er",
     "prj09_testable": f"{_G}, {_ROLES} SELECT node_id FROM nr WHERE role IN ({_list(R.TESTABLE)})",

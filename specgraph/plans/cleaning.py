@@ -73,14 +73,6 @@ QUERIES = {
     "jn11_edge_confidence": lambda s, d: _scored(s, d)[1].select("src_id", "dst_id", "rel_type", "confidence"),
     "agg06_confidence_summary": lambda s, d: C.confidence_summary(*_scored(s, d)),
     # The same over every row of lineitem; the SQL twins read a part of them.
-    "prj02_normalize_relation_whole": lambda s, d: load(s, d, "raw_edges_whole").select("ord", "rel_type", normalize_relation(F.col("rel_type")).alias("normal")),
-    "win03_agg03_dedup_edges_whole": lambda s, d: _dedup(s, d, "raw_edges_whole")[1].select("src_id", "dst_id", "rel_type", "source", "ord", "occ"),
-    "win03_direction_conflicts_whole": lambda s, d: C.direction_conflicts(load(s, d, "raw_edges_whole")),
-    "prj05_prj06_jn15_check_edges_whole": lambda s, d: _checked(s, d, "raw_edges_whole").select("src_id", "dst_id", "rel_type", "ord", F.concat_ws("; ", "reasons").alias("reasons")),
-    "prj06_validation_counts_whole": lambda s, d: _checked(s, d, "raw_edges_whole").groupBy(F.concat_ws("; ", "reasons").alias("reasons")).agg(F.count("*").alias("n")),
-    "jn11_node_confidence_whole": lambda s, d: _scored(s, d, "raw_edges_whole")[0].select("node_id", "confidence"),
-    "jn11_edge_confidence_whole": lambda s, d: _scored(s, d, "raw_edges_whole")[1].select("src_id", "dst_id", "rel_type", "confidence"),
-    "agg06_confidence_summary_whole": lambda s, d: C.confidence_summary(*_scored(s, d, "raw_edges_whole")),
 }
 
 _N, _E, _B = cte("raw_nodes"), cte("raw_edges"), cte("raw_nodes", "raw_edges")

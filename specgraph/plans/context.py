@@ -22,7 +22,7 @@ def _groups(s, d):
     return load(s, d, "part").groupBy(F.concat(F.lit("group "), "p_brand").alias("name")).agg(F.collect_list(F.concat(F.lit("part_"), "p_partkey")).alias("members"))
 
 
-def _ev_cases(s, d, who="user_id < 20"):
+def _ev_cases(s, d, who="user_id IS NOT NULL"):
     e = load(s, d, "events").filter(who)
     steps = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: F.initcap(x["event_type"]))
     return T.transitions(e.groupBy(F.col("user_id").cast("string").alias("tc_id")).agg(steps.alias("steps")))
@@ -57,8 +57,6 @@ QUERIES = {
     "jn22_step_nodes": lambda s, d: C.step_nodes(_ev_cases(s, d), _ev_nodes(s, d)),
     "agg17_path_validity": lambda s, d: C.path_validity(C.step_nodes(_ev_cases(s, d), _ev_nodes(s, d)), _ev_edges(s, d)),
     # The same over all users; the SQL twins read the users below 20.
-    "jn22_step_nodes_whole": lambda s, d: C.step_nodes(_ev_cases(s, d, "user_id IS NOT NULL"), _ev_nodes(s, d)),
-    "agg17_path_validity_whole": lambda s, d: C.path_validity(C.step_nodes(_ev_cases(s, d, "user_id IS NOT NULL"), _ev_nodes(s, d)), _ev_edges(s, d)),
     "agg12_workflow_quality": lambda s, d: C.workflow_quality(_steps(s, d), load(s, d, "g_edges").filter("rel_type = 'LEADS_TO'")),
     "agg09_chunk_patterns": lambda s, d: C.chunk_patterns(_chunk_texts(s, d)),
     "agg09_strategy": lambda s, d: C.chunk_strategy(_chunk_texts(s, d)),
@@ -67,7 +65,7 @@ QUERIES = {
     "prj13_item_checks": lambda s, d: C.item_checks(load(s, d, "part").select(F.lit(1).alias("doc_id"), F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("FR-"), F.lpad((F.col("p_partkey") % 40).cast("string"), 3, "0"))).when(F.col("p_partkey") % 5 == 1, F.concat(F.lit("GEN-"), "p_partkey")).otherwise(F.concat(F.lit("item "), "p_partkey")).alias("item_id"), (F.col("p_size") > 10).alias("native"), F.when(F.col("p_size") % 7 > 0, F.col("p_type")).alias("content"), F.col("p_partkey").alias("ord"))).select("ord", F.array_join("reasons", "; ").alias("reasons")),
 }
 _G = cte("g_nodes", "g_edges")
-_EV = "s AS (SELECT user_id::VARCHAR AS tc_id, CAST(row_number() OVER w - 1 AS INT) AS pos, event_type AS a, lead(event_type) OVER w AS b FROM events WHERE user_id < 20 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
+_EV = "s AS (SELECT user_id::VARCHAR AS tc_id, CAST(row_number() OVER w - 1 AS INT) AS pos, event_type AS a, lead(event_type) OVER w AS b FROM events WHERE user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
 _CHUNKS = (
     "WITH t AS (SELECT o_orderkey AS doc_id, concat_ws(' ', CASE WHEN o_orderkey % 2 = 0 THEN 'NFR-' || lpad(CAST(o_custkey AS VARCHAR), 4, '0') || ':' END, CASE WHEN o_orderkey % 3 = 0 THEN 'br-001 uc-123: x' END, CASE WHEN o_orderkey % 5 = 0 THEN 'US-100: then Story 7: told' END, "
     "CASE WHEN o_orderkey % 7 = 0 THEN 'req9999: TS-123:' || chr(10) || '1.2 Scope of it' || chr(10) || '2.3.1 more' || chr(10) END) AS text FROM orders), c AS ("

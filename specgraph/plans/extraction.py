@@ -94,7 +94,7 @@ QUERIES = {
     "src21_sql": lambda s, d: api.sql(s, "SELECT e.rel_type, n.node_type, count(*) AS n FROM {edges} e JOIN {nodes} n ON n.node_id = e.src_id GROUP BY 1, 2", *_g(s, d)),
     "src11_nodes": lambda s, d: S.typed_nodes(load(s, d, "events").select(F.concat(F.lit("e"), "event_id").alias("node_id"), F.col("event_type").alias("node_type"), F.col("props").alias("attributes_json"))).select("node_id", "node_type", F.col("attributes")["k"].alias("k")),
     "src12_edges": lambda s, d: api.resolved(load(s, d, "g_edges"), load(s, d, "g_nodes").filter("node_type <> 'DataObject'"))[0],
-    "jn01_unresolved": lambda s, d: api.resolved(load(s, d, "raw_edges_whole"), _raw(s, d))[1].groupBy("rel_type").agg(F.count("*").alias("n")),
+    "jn01_unresolved": lambda s, d: api.resolved(load(s, d, "raw_edges"), _raw(s, d))[1].groupBy("rel_type").agg(F.count("*").alias("n")),
     "snk03_insert": lambda s, d: _saved(s, d),
     "snk05_delete_all": lambda s, d: S.cleared(_g(s, d)[0])[1],
     "snk06_communities": _communities,
@@ -149,7 +149,7 @@ SELECT doc_id, CAST(batch AS INT) AS batch, count(*) AS n, min(pos) AS first FRO
     "src21_sql": f"{_G} SELECT e.rel_type, n.node_type, count(*) AS n FROM g_edges e JOIN g_nodes n ON n.node_id = e.src_id GROUP BY 1, 2",
     "src11_nodes": "SELECT 'e' || event_id AS node_id, event_type AS node_type, json_extract_string(props, '$.k') AS k FROM events",
     "src12_edges": f"{_G} SELECT * FROM g_edges WHERE rel_type NOT IN ('USES', 'PRODUCES')",
-    "jn01_unresolved": f"{cte('raw_nodes', 'raw_edges_whole')} SELECT rel_type, count(*) AS n FROM raw_edges_whole WHERE src_id NOT IN (SELECT node_id FROM raw_nodes) OR dst_id NOT IN (SELECT node_id FROM raw_nodes) GROUP BY 1",
+    "jn01_unresolved": f"{cte('raw_nodes', 'raw_edges')} SELECT rel_type, count(*) AS n FROM raw_edges WHERE src_id NOT IN (SELECT node_id FROM raw_nodes) OR dst_id NOT IN (SELECT node_id FROM raw_nodes) GROUP BY 1",
     "snk03_insert": f"{cte('ver_a_nodes', 'ver_b_nodes')} SELECT *, 'batch-2' AS batch_id FROM ver_b_nodes UNION ALL SELECT *, NULL FROM ver_a_nodes WHERE node_id NOT IN (SELECT node_id FROM ver_b_nodes)",
     "snk05_delete_all": f"{_G} SELECT count(*) AS deleted FROM g_nodes",
     "snk06_communities": f"{_G} SELECT CAST(length(name) % 7 AS INT) AS community, count(*) AS size FROM g_nodes GROUP BY 1",

@@ -34,13 +34,8 @@ UNION ALL SELECT upper(concat('cust_', c_custkey)), 'DataObject', c_name, 'data'
 UNION ALL SELECT concat('part_', p_partkey), CASE WHEN p_size % 4 = 0 THEN 'Widget' WHEN p_size % 4 = 1 THEN 'Attribute' ELSE 'State' END, p_name, p_type, concat('REQ-', p_partkey % 60), p_partkey * 10 + 1000000000 FROM part
 UNION ALL SELECT concat('PART-', p_partkey), CASE WHEN p_size % 3 = 0 THEN 'Event' ELSE 'Feature' END, p_name, p_type, concat('REQ-', p_partkey % 60), p_partkey * 10 + 1000000001 FROM part WHERE p_partkey % 4 = 0
 UNION ALL SELECT concat('supp ', s_suppkey), 'Service', s_name, NULL, 'REQ-1', s_suppkey + 3000000000 FROM supplier""",
+    # Its edges, from every row of lineitem, with spelling and direction varied by columns.
     "raw_edges": """
-SELECT concat('Supp-', l_suppkey) AS src_id, concat('part ', l_partkey) AS dst_id, CASE l_linenumber % 4 WHEN 0 THEN 'uses data' WHEN 1 THEN 'PRODUCES' WHEN 2 THEN 'part-of' ELSE 'custom: link' END AS rel_type, concat('REQ-', l_partkey % 60) AS source, l_orderkey * 10 + l_linenumber AS ord FROM lineitem WHERE l_orderkey % 4 = 0
-UNION ALL SELECT concat('PART_', l_partkey), concat('supp_', l_suppkey), CASE l_linenumber % 4 WHEN 0 THEN 'uses data' WHEN 1 THEN 'PRODUCES' WHEN 2 THEN 'part-of' ELSE 'custom: link' END, 'REQ-1', l_orderkey * 10 + l_linenumber + 5 FROM lineitem WHERE l_orderkey % 12 = 0
-UNION ALL SELECT concat('part_', p_partkey), concat('cust_', p_partkey % 1700), CASE WHEN p_partkey % 2 = 0 THEN 'PRODUCES' ELSE 'AUTHENTICATES' END, 'REQ-2', p_partkey + 9000000000 FROM part
-UNION ALL SELECT concat('cust_', p_partkey % 1700), concat('part_', p_partkey), CASE WHEN p_partkey % 2 = 0 THEN 'DISPLAYS' ELSE 'AND' END, 'REQ-3', p_partkey + 9500000000 FROM part""",
-    # The same from every row of lineitem, the direction varied by a column.
-    "raw_edges_whole": """
 SELECT CASE WHEN l_linenumber % 3 = 0 THEN concat('PART_', l_partkey) ELSE concat('Supp-', l_suppkey) END AS src_id, CASE WHEN l_linenumber % 3 = 0 THEN concat('supp_', l_suppkey) ELSE concat('part ', l_partkey) END AS dst_id, CASE l_orderkey % 4 WHEN 0 THEN 'uses data' WHEN 1 THEN 'PRODUCES' WHEN 2 THEN 'part-of' ELSE 'custom: link' END AS rel_type, CASE WHEN l_linenumber % 3 = 0 THEN 'REQ-1' ELSE concat('REQ-', l_partkey % 60) END AS source, l_orderkey * 10 + l_linenumber AS ord FROM lineitem
 UNION ALL SELECT concat('part_', p_partkey), concat('cust_', p_partkey % 1700), CASE WHEN p_partkey % 2 = 0 THEN 'PRODUCES' ELSE 'AUTHENTICATES' END, 'REQ-2', p_partkey + 9000000000 FROM part
 UNION ALL SELECT concat('cust_', p_partkey % 1700), concat('part_', p_partkey), CASE WHEN p_partkey % 2 = 0 THEN 'DISPLAYS' ELSE 'AND' END, 'REQ-3', p_partkey + 9500000000 FROM part""",

@@ -65,7 +65,7 @@ QUERIES = {
     "src13_document_edges": lambda s, d: S.document_graph(*_stored(s, d), "BUILDING")[1].select("src_id", "dst_id", "rel_type"),
     "src14_documents": lambda s, d: S.documents(_stored(s, d)[0]),
     "src14_generated_range": lambda s, d: S.documents(_stored(s, d)[0].withColumn("doc_id", F.lit(None).cast("string"))),
-    "src17_win18_version_chain": lambda s, d: S.version_chain(load(s, d, "orders").filter("o_custkey = 7").select(F.col("o_orderkey").alias("version_id"), F.col("o_orderdate").alias("created_at"))),
+    "src17_win18_version_chain": lambda s, d: S.version_chain(load(s, d, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("version_id"), F.col("o_orderdate").alias("created_at")), "owner"),
     "top10_latest_version": lambda s, d: load(s, d, "orders").groupBy(F.col("o_custkey").alias("owner")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest")),
     "jn09_diff_nodes": lambda s, d: V.diff_nodes(*_vers(s, d)[:2]),
     "jn09_diff_edges": lambda s, d: V.diff_edges(*_vers(s, d)[2:]),
@@ -88,7 +88,7 @@ QUERIES = {
     "top09_community_facts": lambda s, d: R.community_facts(load(s, d, "g_nodes").withColumn("community", F.pmod(F.length("name"), F.lit(5))), load(s, d, "g_edges")),
     "prj19_subgraph": lambda s, d: R.subgraph_of_strings(load(s, d, "g_nodes"), load(s, d, "g_edges"), load(s, d, "nation").select(F.upper(F.concat(F.lit("nation_"), "n_nationkey")).alias("s")).unionByName(load(s, d, "region").select(F.lower("r_name").alias("s")))),
     "prj14_api_properties": lambda s, d: R.api_properties(load(s, d, "events").select(F.concat(F.lit("e"), "event_id").alias("node_id"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("node_type"), F.lit(None).cast("string").alias("name"), F.regexp_replace(F.regexp_replace("props", "k", "Secret_k"), r"\}$", ', "color": "red"}').alias("attributes_json"))).select("node_id", F.concat_ws(";", F.array_sort(F.transform(F.map_entries("properties"), lambda x: F.concat_ws("=", x["key"], x["value"])))).alias("properties")),
-    "src18_history": lambda s, d: load(s, d, "events").filter("user_id = 3").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.row_number().over(__import__("pyspark").sql.Window.orderBy(F.desc("ts"), F.desc("event_id"))).alias("newest")),
+    "src18_history": lambda s, d: load(s, d, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").alias("k"), F.row_number().over(__import__("pyspark").sql.Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))).alias("newest")),
     "src19_level_counts": lambda s, d: s.createDataFrame([(0,), (1,), (99,)], "label int").join(load(s, d, "embeddings").groupBy("label").agg(F.count("*").alias("n")), "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n")),
     "src23_prompts": lambda s, d: S.current_prompts(load(s, d, "conversations").select(F.concat(F.lit("p"), "conv_id").alias("name"), F.col("role").alias("label"), F.col("turn").cast("int").alias("version"), F.col("text").alias("template")), load(s, d, "region").select(F.concat(F.lit("p"), F.col("r_regionkey") + 1000000).alias("name"), F.lit("seed").alias("label"), F.lit(1).alias("version"), F.col("r_name").alias("template"))),
     "src15_community": lambda s, d: S.community_nodes(load(s, d, "g_nodes").withColumn("community", F.pmod(F.length("name"), F.lit(5))), load(s, d, "g_edges"), F.lit(2))[1],
@@ -112,7 +112,7 @@ SQL = {
     "src13_document_edges": f"{_ST} SELECT DISTINCT src_id, dst_id, rel_type FROM e WHERE src_id IN (SELECT node_id FROM n WHERE doc_id = 'BUILDING') AND dst_id IN (SELECT node_id FROM n WHERE doc_id = 'BUILDING')",
     "src14_documents": "SELECT DISTINCT c_mktsegment AS name FROM customer",
     "src14_generated_range": f"{_ST} SELECT min(source) || ' to ' || max(source) AS name FROM n",
-    "src17_win18_version_chain": "SELECT o_orderkey AS version_id, o_orderdate AS created_at, lag(o_orderkey) OVER (ORDER BY o_orderdate, o_orderkey) AS previous_id FROM orders WHERE o_custkey = 7",
+    "src17_win18_version_chain": "SELECT o_custkey AS owner, o_orderkey AS version_id, o_orderdate AS created_at, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous_id FROM orders",
     "top10_latest_version": "SELECT o_custkey AS owner, o_orderkey AS latest FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "jn09_diff_nodes": f"{_V}, {_DN} SELECT * FROM dn WHERE status IS NOT NULL",
     "jn09_diff_edges": f"{_VE}, {_DE} SELECT * FROM de",
@@ -135,7 +135,7 @@ SQL = {
     "top09_community_facts": f"{cte('g_nodes', 'g_edges')}, k AS (SELECT node_id, CAST(length(name) % 5 AS INT) AS c FROM g_nodes QUALIFY row_number() OVER (PARTITION BY length(name) % 5 ORDER BY node_id) <= 25) SELECT a.c AS community, src_id, dst_id, rel_type FROM g_edges JOIN k a ON a.node_id = src_id JOIN k b ON b.node_id = dst_id WHERE a.c = b.c",
     "prj19_subgraph": f"{cte('g_edges')} SELECT * FROM g_edges WHERE rel_type = 'PART_OF'",
     "prj14_api_properties": "SELECT concat('e', event_id) AS node_id, 'color=red;label=e' || event_id || ';type=' || CASE WHEN event_id % 3 > 0 THEN event_type ELSE 'Entity' END AS properties FROM events",
-    "src18_history": "SELECT event_id, props->>'$.k' AS k, CAST(row_number() OVER (ORDER BY ts DESC, event_id DESC) AS INT) AS newest FROM events WHERE user_id = 3",
+    "src18_history": "SELECT user_id, event_id, props->>'$.k' AS k, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INT) AS newest FROM events",
     "src19_level_counts": "SELECT l AS label, count(vec_id) AS n FROM (VALUES (0), (1), (99)) v(l) LEFT JOIN embeddings ON label = l GROUP BY 1",
     "src23_prompts": "SELECT concat('p', conv_id) AS name, arg_max(role, turn) AS label, CAST(max(turn) AS INT) AS version, arg_max(text, turn) AS template FROM conversations GROUP BY 1 UNION ALL SELECT concat('p', r_regionkey + 1000000), 'seed', 1, r_name FROM region",
     "src15_community": f"{cte('g_nodes', 'g_edges')}, k AS (SELECT node_id FROM g_nodes WHERE length(name) % 5 = 2) SELECT * FROM g_edges WHERE src_id IN (FROM k) AND dst_id IN (FROM k)",

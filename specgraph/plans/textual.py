@@ -53,7 +53,7 @@ def _blocks(s, d):
     return B.text_blocks(_docs(s, d))
 
 
-def _facts(s, d, which="s_suppkey <= 60"):
+def _facts(s, d, which="s_suppkey IS NOT NULL"):
     n = load(s, d, "nation")
     f = load(s, d, "supplier").filter(which).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     return f.select(F.col("s_suppkey").alias("fact_id"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("the "), "n_name")).when(F.col("s_suppkey") % 3 == 1, F.lit("nobody at all")).otherwise(F.col("n_name")).alias("subject"), F.when(F.col("s_suppkey") % 5 == 0, F.lit("zz yy")).otherwise(F.concat(F.lit("REGION "), (F.col("n_regionkey")).cast("string"))).alias("object"))
@@ -90,10 +90,6 @@ QUERIES = {
     "jn12_match_facts": lambda s, d: E.match_facts(_facts(s, d), *_fact_graph(s, d)),
     "agg10_retention": lambda s, d: E.retention(E.match_facts(_facts(s, d), *_fact_graph(s, d))),
     # The same over all suppliers, links and edges; the SQL twins read a part of them.
-    "jn12_match_facts_whole": lambda s, d: E.match_facts(_facts(s, d, "s_suppkey IS NOT NULL"), *_fact_graph(s, d)),
-    "agg10_retention_whole": lambda s, d: E.retention(E.match_facts(_facts(s, d, "s_suppkey IS NOT NULL"), *_fact_graph(s, d))),
-    "prj25_priorities_whole": lambda s, d: T.priorities(_items(s, d), _link(s, d)[0]),
-    "prj26_phrases_whole": lambda s, d: load(s, d, "g_edges").join(load(s, d, "g_nodes").withColumnRenamed("node_id", "dst_id"), "dst_id").select("src_id", "dst_id", "rel_type", T.phrase(F.col("rel_type"), F.col("name"), F.col("node_type")).alias("step")),
     "agg05_set02_sequence_scores": lambda s, d: E.sequence_scores(load(s, d, "ver_b_edges"), load(s, d, "ver_a_edges")),
     "agg11_relationship_quality": lambda s, d: E.relationship_quality(load(s, d, "ver_b_nodes"), load(s, d, "ver_a_edges").withColumn("rel_type", F.when(F.length("dst_id") % 2 == 0, "ODD").otherwise(F.col("rel_type"))), O.RELATIONS),
     "agg14_overall": lambda s, d: load(s, d, "region").select("r_regionkey", E.overall(F.col("r_regionkey") / 10, F.lit(0.5), F.lit(0.25), F.lit(1.0)).alias("with_facts"), E.overall(None, F.col("r_regionkey") / 10, F.lit(0.25), F.lit(1.0)).alias("without")),
@@ -103,8 +99,8 @@ QUERIES = {
     "prj23_classify": lambda s, d: T.classify(_cue_docs(s, d)).select("tc_id", "class"),
     "agg16_scenario_counts": lambda s, d: T.classify(_cue_docs(s, d)).groupBy("class").agg(F.count("*").alias("n")),
     "prj24_negative_items": lambda s, d: T.negative_items(_cue_docs(s, d).select(F.col("tc_id").alias("item_id"), F.col("expected_result").alias("content"))),
-    "prj25_priorities": lambda s, d: T.priorities(_items(s, d), _link(s, d)[0].filter("source_id like '%7'")),
-    "prj26_phrases": lambda s, d: load(s, d, "g_edges").filter("rel_type <> 'USES' OR src_id LIKE '%7'").join(load(s, d, "g_nodes").withColumnRenamed("node_id", "dst_id"), "dst_id").select("src_id", "dst_id", "rel_type", T.phrase(F.col("rel_type"), F.col("name"), F.col("node_type")).alias("step")),
+    "prj25_priorities": lambda s, d: T.priorities(_items(s, d), _link(s, d)[0]),
+    "prj26_phrases": lambda s, d: load(s, d, "g_edges").join(load(s, d, "g_nodes").withColumnRenamed("node_id", "dst_id"), "dst_id").select("src_id", "dst_id", "rel_type", T.phrase(F.col("rel_type"), F.col("name"), F.col("node_type")).alias("step")),
     "agg20_duplicates": lambda s, d: T.duplicates(_parts(s, d).withColumn("title", F.col("feature"))),
     "agg20_duplication": lambda s, d: T.duplication(_parts(s, d).withColumn("title", F.col("feature"))),
     "tc02_variants": lambda s, d: T.variants(_parts(s, d)).select("tc_id", "tc_type", "title", F.array_join("steps", " ").alias("steps")),
@@ -132,7 +128,7 @@ c AS (SELECT doc_id, run, n, k, CASE WHEN k = 'row' THEN list_transform(string_s
 g AS (SELECT doc_id, run, min(n) AS n, first(k) AS k, first(s) AS s, list(array_to_string(cells, ' | ') ORDER BY n) FILTER (WHERE len(list_filter(cells, lambda q: q <> '')) > 0) AS rows FROM c GROUP BY doc_id, run),
 b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS block_no, CASE WHEN k = 'row' THEN CASE WHEN len(rows) >= 2 THEN 'table' ELSE 'paragraph' END WHEN k IN ('heading', 'capitals') THEN 'heading' WHEN k IN ('bullet', 'numbered') THEN 'list_item' ELSE 'paragraph' END AS kind,
 k, rows, CASE WHEN k = 'row' THEN array_to_string(rows, chr(10)) WHEN k = 'heading' THEN trim(regexp_replace(s, '^#{1,6}\s+', '')) WHEN k IN ('bullet', 'numbered') THEN trim(regexp_replace(s, '^([-*•]|[0-9]{1,3}[.)])\s+', '')) ELSE s END AS content FROM g WHERE k <> 'row' OR len(rows) > 0)"""
-_F = """f AS (SELECT s_suppkey AS fact_id, CASE s_suppkey % 3 WHEN 0 THEN 'the ' || n_name WHEN 1 THEN 'nobody at all' ELSE n_name END AS subject, CASE WHEN s_suppkey % 5 = 0 THEN 'zz yy' ELSE 'REGION ' || n_regionkey END AS object, n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey <= 60),
+_F = """f AS (SELECT s_suppkey AS fact_id, CASE s_suppkey % 3 WHEN 0 THEN 'the ' || n_name WHEN 1 THEN 'nobody at all' ELSE n_name END AS subject, CASE WHEN s_suppkey % 5 = 0 THEN 'zz yy' ELSE 'REGION ' || n_regionkey END AS object, n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 fn AS (SELECT 'n' || n_nationkey AS id, n_name AS name, n_nationkey AS ord FROM nation UNION ALL SELECT 'r' || r_regionkey, 'REGION ' || r_regionkey, r_regionkey + 100 FROM region),
 h AS (SELECT e, arg_max(id, ord) AS id FROM (SELECT subject AS e FROM f UNION SELECT object FROM f) q JOIN fn ON contains(regexp_replace(lower(e), '[^a-z0-9]', '', 'g'), regexp_replace(lower(name), '[^a-z0-9]', '', 'g')) OR contains(regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), regexp_replace(lower(e), '[^a-z0-9]', '', 'g')) OR len(list_intersect(string_split(lower(e), ' '), string_split(lower(name), ' '))) / len(list_distinct(list_concat(string_split(lower(e), ' '), string_split(lower(name), ' ')))) >= 0.6 GROUP BY e),
 mf AS (SELECT fact_id, CASE WHEN EXISTS (SELECT 1 FROM nation WHERE 'n' || n_nationkey IN (a.id, b.id) AND 'r' || n_regionkey IN (a.id, b.id)) THEN 'verified' WHEN a.id IS NOT NULL OR b.id IS NOT NULL THEN 'partially_verified' ELSE 'missing' END AS status FROM f LEFT JOIN h a ON a.e = subject LEFT JOIN h b ON b.e = object),
@@ -168,8 +164,8 @@ w AS (SELECT doc_id, q.t AS t, q.s AS s, lead(q.s) OVER (PARTITION BY doc_id ORD
     "prj23_classify": f"WITH {_P} SELECT tc_id, {_CLASS} AS class FROM p",
     "agg16_scenario_counts": f"WITH {_P} SELECT {_CLASS} AS class, count(*) AS n FROM p GROUP BY 1",
     "prj24_negative_items": f"WITH {_P} SELECT tc_id AS item_id, er = 'an invalid pin' AS is_negative, CASE WHEN er = 'an invalid pin' THEN 'invalid' END AS cue FROM p",
-    "prj25_priorities": f"{_I}, {_LINK}, k AS (SELECT item_id FROM m WHERE item_id LIKE '%7' AND t IN (SELECT item_id FROM items_v)) SELECT item_id, CASE WHEN family = 'BR' OR item_id IN (FROM k) THEN 'High' ELSE 'Medium' END AS priority FROM items_v",
-    "prj26_phrases": f"{cte('g_nodes', 'g_edges')} SELECT src_id, dst_id, rel_type, CASE WHEN rel_type IN ('USES', 'ASSOCIATED_WITH') AND node_type = 'DataObject' THEN 'Enter ' || name || '.' WHEN node_type = 'Action' THEN 'Perform ' || name || '.' ELSE upper(rel_type[1]) || lower(replace(rel_type[2:], '_', ' ')) || ' ' || name || '.' END AS step FROM g_edges JOIN g_nodes ON node_id = dst_id WHERE rel_type <> 'USES' OR src_id LIKE '%7'",
+    "prj25_priorities": f"{_I}, {_LINK}, k AS (SELECT item_id FROM m WHERE t IN (SELECT item_id FROM items_v)) SELECT item_id, CASE WHEN family = 'BR' OR item_id IN (FROM k) THEN 'High' ELSE 'Medium' END AS priority FROM items_v",
+    "prj26_phrases": f"{cte('g_nodes', 'g_edges')} SELECT src_id, dst_id, rel_type, CASE WHEN rel_type IN ('USES', 'ASSOCIATED_WITH') AND node_type = 'DataObject' THEN 'Enter ' || name || '.' WHEN node_type = 'Action' THEN 'Perform ' || name || '.' ELSE upper(rel_type[1]) || lower(replace(rel_type[2:], '_', ' ')) || ' ' || name || '.' END AS step FROM g_edges JOIN g_nodes ON node_id = dst_id",
     "agg20_duplicates": f"WITH {_P}, q AS (SELECT tc_id, ord, first_value(tc_id) OVER (PARTITION BY feature, {_SIG} ORDER BY ord) AS f FROM p) SELECT tc_id, nullif(f, tc_id) AS duplicate_of FROM q",
     "agg20_duplication": f"WITH {_P}, q AS (SELECT tc_id, first_value(tc_id) OVER (PARTITION BY feature, {_SIG} ORDER BY ord) AS f FROM p) SELECT count(*) AS total, count(nullif(f, tc_id)) AS duplicates, round(count(nullif(f, tc_id)) * 100 / count(*), 1) AS ratio FROM q",
     "tc02_variants": f"""WITH {_P}, v AS (SELECT tc_id || '-NEG' AS tc_id, 'Negative' AS tc_type, 'Negative - ' || feature || ' with invalid inputs' AS title, array_to_string([steps[1], CASE WHEN steps[2] LIKE 'Enter %' THEN 'Enter invalid ' || steps[2][7:] ELSE steps[2] END, steps[3]], ' ') AS steps FROM p

@@ -74,9 +74,9 @@ def community_nodes(nodes: DataFrame, edges: DataFrame, community: Column) -> tu
     return n, edges.join(ids.withColumnRenamed("node_id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("node_id", "dst_id"), "dst_id", "left_semi").select(*edges.columns)
 
 
-def version_chain(versions: DataFrame) -> DataFrame:
-    """Versions, oldest first, each with the one before it."""
-    return versions.withColumn("previous_id", F.lag("version_id").over(W.orderBy("created_at", "version_id")))  # a row a version
+def version_chain(versions: DataFrame, *by: str) -> DataFrame:
+    """Versions, oldest first, each with the one before it (of the same ``by``, where a table holds those of several graphs)."""
+    return versions.withColumn("previous_id", F.lag("version_id").over(W.partitionBy(*by).orderBy("created_at", "version_id")))  # a row a version
 
 
 def snapshot(nodes: DataFrame, edges: DataFrame, folder: str, version_id: str, label: str) -> None:

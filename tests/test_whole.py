@@ -1,13 +1,9 @@
-"""Queries over whole tables, without a SQL twin, against plain Python or the twin of the part with the whole projection put in."""
+"""Queries read whole tables: steps of all users against plain Python, and counts of rows."""
 
 from collections import defaultdict
 
-import pytest
-
 from specgraph.plans import catalog
-from specgraph.plans.fixtures import VIEWS, load
-
-from .test_queries import duck, plain  # noqa: F401
+from specgraph.plans.fixtures import load
 
 #: sf0.001 has no user above 20.
 SF = "/root/testdata/sf0.01"
@@ -18,45 +14,13 @@ def test_steps_of_all_users(spark):
     for r in load(spark, SF, "events").collect():
         users[r.user_id].append((r.ts, r.event_id, r.event_type))
     want = {(str(u), k, a[2], b[2]) for u, e in users.items() if u is not None for x in [sorted(e)] for k, (a, b) in enumerate(zip(x, x[1:]))}
-    rows = catalog.QUERIES["jn22_step_nodes_whole"](spark, SF).collect()
+    rows = catalog.QUERIES["jn22_step_nodes"](spark, SF).collect()
     assert len(rows) == len(want) and {(r.tc_id, r.pos, r.src_id[2:], r.dst_id[2:]) for r in rows} == want
     assert len({w[0] for w in want}) > 20
     valid = sum(a < b for _, _, a, b in want)  # each forward edge stands in the graph
-    got = catalog.QUERIES["agg17_path_validity_whole"](spark, SF).first()
+    got = catalog.QUERIES["agg17_path_validity"](spark, SF).first()
     assert (got.checked, got.valid) == (len(want), valid) and abs(got.pct - 100 * valid / len(want)) <= 0.0501
 
 
-EDGES = [n for n in sorted(catalog.QUERIES) if n.endswith("_whole") and "FROM lineitem WHERE l_orderkey % 12" in catalog.SQL.get(n.removesuffix("_whole"), "")]
-
-
-def same(spark, duck, name, sql):  # noqa: F811
-    df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
-    cols, out = sorted(df.columns), duck.sql(sql)
-    at = [out.columns.index(c) for c in cols]
-    rows = sorted(repr(tuple(plain(r[c]) for c in cols)) for r in df.collect())
-    assert rows and rows == sorted(repr(tuple(plain(r[i]) for i in at)) for r in out.fetchall())
-
-
-@pytest.mark.parametrize("name", EDGES)
-def test_edges_of_all_rows(spark, duck, name):  # noqa: F811
-    same(spark, duck, name, catalog.SQL[name.removesuffix("_whole")].replace(VIEWS["raw_edges"].strip(), VIEWS["raw_edges_whole"].strip()))
-
-
 def test_edges_are_whole(spark):
-    assert len(EDGES) == 8
-    assert load(spark, SF, "raw_edges_whole").filter("ord < 9000000000").count() == load(spark, SF, "lineitem").count()
-
-
-#: What a twin reads a part by, and what stands in its place for the whole.
-PARTS = {
-    "jn12_match_facts": (" WHERE s_suppkey <= 60", ""), "agg10_retention": (" WHERE s_suppkey <= 60", ""),
-    "prj25_priorities": ("item_id LIKE '%7' AND ", ""), "prj26_phrases": (" WHERE rel_type <> 'USES' OR src_id LIKE '%7'", ""),
-    "jn03_expand": (" WHERE c_custkey % 100 = 1", ""), "jn04_khop": (" WHERE c_custkey % 100 = 1", ""),
-}
-
-
-@pytest.mark.parametrize("name", PARTS)
-def test_all_rows(spark, duck, name):  # noqa: F811
-    part = catalog.SQL[name]
-    assert PARTS[name][0] in part
-    same(spark, duck, f"{name}_whole", part.replace(*PARTS[name]))
+    assert load(spark, SF, "raw_edges").filter("ord < 9000000000").count() == load(spark, SF, "lineitem").count()
