@@ -30,7 +30,7 @@ from . import _util
 #: Words of the longest n-grams of ``query``.
 ORDER = 3
 #: Characters in a chunk (one longer text makes a chunk of its own), and bytes of n-gram hashes in a bucket, about.
-CHUNK_CHARS, BUCKET_BYTES = 5_000_000, 10_000_000
+CHUNK_CHARS, BUCKET_BYTES = 4_000_000, 8_000_000
 END, BOS = 1, 2
 #: Cells of the held-out statistics: steps per factor of two in a likelihood ratio, and their number; buckets of context counts.
 STEPS, CELLS, CONTEXTS = 8, 768, 96
