@@ -29,7 +29,7 @@ from . import _util
 LANE = 256
 GROUP_CHARS = 2_000_000
 #: Whitespace-delimited pieces whose ids a worker remembers.
-KEPT_PIECES = 700_000
+KEPT_PIECES = 550_000
 _HEAD, _HEAD_BYTES, _NO_ID = "<qII", 16, 256
 
 
