@@ -12,19 +12,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.groups import per_group
+
 
 class Flow:
     """Successors in order, predecessors and roots of one flow."""
 
-    def __init__(self, frame: pd.DataFrame):
-        f = frame[frame["kind"] == "edge"].sort_values(["src_id", "pos"], kind="stable")
+    def __init__(self, rows: pd.DataFrame | list[tuple]):
+        """rows: src_id, dst_id, pos, kind, which is edge or entry."""
+        rows = list(rows[["src_id", "dst_id", "pos", "kind"]].itertuples(index=False, name=None)) if isinstance(rows, pd.DataFrame) else rows
+        moves = sorted((a, pos is None, pos or 0, b) for a, b, pos, kind in rows if kind == "edge")
         self.next: dict[str, list[str]] = defaultdict(list)
         self.before: dict[str, list[str]] = defaultdict(list)
-        for a, b in zip(f["src_id"], f["dst_id"]):
+        for a, _, _, b in moves:
             self.next[a].append(b)
             self.before[b].append(a)
-        self.nodes = sorted({*f["src_id"], *f["dst_id"]})
-        given = sorted(frame[frame["kind"] == "entry"]["src_id"])
+        self.nodes = sorted({*self.next, *self.before})
+        given = sorted(a for a, _, _, kind in rows if kind == "entry")
         self.roots = [r for r in given if r in self.next or r in self.before] or [n for n in self.nodes if not self.before[n]] or self.nodes[:1]
 
     def forest(self) -> tuple[dict[str, int], dict[str, int], dict[str, str]]:
@@ -120,12 +124,7 @@ def _grouped(edges: DataFrame, entries: DataFrame | None, each, schema: str) ->
     rows = edges.select("flow", "src_id", "dst_id", "pos", F.lit("edge").alias("kind"))
     if entries is not None:
         rows = rows.unionByName(entries.select("flow", F.col("node_id").alias("src_id"), F.lit(None).cast("string").alias("dst_id"), F.lit(0).alias("pos"), F.lit("entry").alias("kind")))
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *r) for r in each(Flow(frame))], columns=["flow", *names])
-
-    return rows.groupBy("flow").applyInPandas(run, f"flow {dict(edges.dtypes)['flow']}, {schema}")
+    return per_group(rows, "flow", lambda flow, group: [(flow, *r) for r in each(Flow([g[1:] for g in group]))], f"flow {dict(edges.dtypes)['flow']}, {schema}")
 
 
 def depth_first(edges: DataFrame, entries: DataFrame | None = None) -> DataFrame:
