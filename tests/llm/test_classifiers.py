@@ -61,3 +61,22 @@ def test_ranking_orders_pairs():
     model = quality.fit(x, y)
     assert ((model.score(x) >= 0.5) == y).mean() > 0.95
     assert abs((model.score(x) >= 0.5).mean() - y.mean()) < 0.02
+
+
+def test_quality_learns_from_every_row(spark):
+    # More rows than the sample of 6,000 that a model was fitted on once.
+    docs = spark.range(0, 6400, numPartitions=6).select(F.col("id").alias("doc_id"), F.concat(F.lit("row "), F.col("id") % 7, F.when(F.col("id") % 2 == 0, " good").otherwise(" bad")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("quality"))
+    model = quality.train(docs, labels, F.lit(True))
+    got = quality.score(docs, model).join(labels, "doc_id").agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("quality")).cast("int"))).first()[0]
+    assert got > 0.99
+    x = np.stack([quality.features(r.text) for r in docs.select("text").collect()]).astype(np.float64)
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-3))  # of all rows
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=30_000) * 5, np.repeat([1.0, 2.0, 1e9], 9000), np.array([3.0])):
+        df = spark.createDataFrame([(float(v),) for v in values], "s double")
+        for share in (0.0, 0.37, 0.5, 1.0):
+            assert np.isclose(quality._quantile(df, share), np.quantile(values, share), rtol=1e-12)
