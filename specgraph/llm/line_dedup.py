@@ -2,12 +2,12 @@
 
 A line is the set of its tokens. Tokens are ordered by rarity, so that two sets with a Jaccard similarity of
 at least t share a token within their first n - ceil(t n) + 1. Sets that share one there are
-candidates if their sizes (length filter), the tokens left after the shared one (positional filter), the
-parities of 64 groups of their tokens (256 of large sets) and the number of prefix tokens that they share allow the overlap that t asks
-for; the tokens themselves then decide.
+candidates if their sizes (length filter), the tokens left after the shared one (positional filter) and the
+parities of 64 groups of their tokens (256 of large sets) allow the overlap that t asks for; the tokens themselves then decide.
+The smaller set of a pair needs a shorter prefix, and a pair meets once a run of prefix tokens that follow one another in both.
 
 A line goes if one earlier line matches it, so that not all pairs of a group of copies are needed. Lines first
-meet the earliest line of each of a few of their prefix tokens: one candidate a line, however large the
+meet the earliest lines of two pairs of neighbours in their prefix: one candidate a line, however large the
 group. Only lines that this leaves unmatched are then joined, as the later side, with all earlier ones.
 DataFrame functions only.
 """
@@ -23,8 +23,8 @@ from . import _util
 
 #: Token counts are kept in buckets by hash, one to TEXT_PER_BUCKET bytes of distinct lines; the powers of two between which their number lies.
 TEXT_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 256, 10, 25
-#: Prefix tokens whose earliest line a line meets first.
-SEEDS = 2
+#: Pairs of neighbours in the prefix whose earliest lines a line meets first, and of how many parts of the lines (a power of two) it meets the earliest.
+SEEDS, CHOICES = 2, 4
 #: Sets of more tokens than this also have the parities of 256 groups, in three more words.
 LONG = 112
 _MORE = ("w1", "w2", "w3")
@@ -127,17 +127,26 @@ def _plausible(na: Column, nb: Column, apart: Column, threshold: float) -> Colum
     return length & (apart <= na + nb - 2 * _need(na, nb, threshold))
 
 
+def _earlier(a: str, b: str) -> Column:
+    """Whether line ``a`` stands before line ``b``; both name rows."""
+    doc, line = (F.col(f"{a}doc_id"), F.col(f"{b}doc_id")), (F.col(f"{a}line_no"), F.col(f"{b}line_no"))
+    return (doc[0] < doc[1]) | ((doc[0] == doc[1]) & (line[0] < line[1]))
+
+
 def first_candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a_doc, a_line, b_doc, b_line): for each line b the most alike of the earliest lines of SEEDS of its prefix tokens.
+    """(a_doc, a_line, b_doc, b_line): for each line b the most alike of the earliest lines, CHOICES at most, of each of its SEEDS.
 
-    The tokens are those with the smallest hashes among the ones that other lines may have, which similar lines choose alike.
+    Seeds are neighbours in the prefix, without tokens that stand in one line only; those with the smallest hashes, which similar lines choose alike.
     """
-    seeds = F.slice(F.array_sort(F.transform(F.filter("first", lambda c: c >= _ALONE), lambda c: F.xxhash64(c))), 1, SEEDS)
-    own = sets.select(F.explode(seeds).alias("seed"), *_KEY, "n", "bits", "wide")
-    earliest = own.groupBy("seed").agg(F.min(F.struct(*_KEY, "n", "bits", "wide")).alias("a"), F.count("*").alias("c")).filter("c > 1").select("seed", "a")
-    other = (F.col("a.doc_id") != F.col("doc_id")) | (F.col("a.line_no") != F.col("line_no"))
+    live = sets.select(*_KEY, "n", "bits", "wide", _once(F.filter("first", lambda c: c >= _ALONE)).alias("live"))
+    rest = F.greatest(F.size("live") - 1, F.lit(0))
+    next_to = F.zip_with(F.slice("live", F.lit(1), rest), F.slice("live", F.lit(2), rest), lambda x, y: F.xxhash64(x, y))
+    own = live.select(F.explode(F.slice(F.sort_array(F.when(F.size("live") > 1, next_to).otherwise(F.col("live"))), 1, SEEDS)).alias("seed"), *_KEY, "n", "bits", "wide")
+    line, part = F.struct(*_KEY, "n", "bits", "wide"), F.xxhash64(*_KEY).bitwiseAND(F.lit(CHOICES - 1))
+    earliest = own.groupBy("seed").agg(*[F.min(F.when(part == i, line)).alias(f"a{i}") for i in range(CHOICES)], F.count("*").alias("c")).filter("c > 1")
+    met = own.join(earliest, "seed").select(*_KEY, "n", "bits", "wide", F.explode(F.array_compact(F.array(*[f"a{i}" for i in range(CHOICES)]))).alias("a"))
     apart = _apart("a.", "")
-    met = own.join(earliest, "seed").filter(other & _plausible(F.col("a.n"), F.col("n"), apart, threshold))
+    met = met.filter(_earlier("a.", "") & _plausible(F.col("a.n"), F.col("n"), apart, threshold))
     best = met.groupBy(*_KEY).agg(F.min(F.struct(apart.alias("apart"), F.col("a.doc_id").alias("doc_id"), F.col("a.line_no").alias("line_no"))).alias("a"))
     return best.select(F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line"), F.col("doc_id").alias("b_doc"), F.col("line_no").alias("b_line"))
 
@@ -149,22 +158,33 @@ def candidates(sets: DataFrame, matched: DataFrame, threshold: float) -> DataFra
     one = F.lit(1).cast("bigint")
     known = sets.filter(maybe).join(matched.select(*_KEY, F.lit(0).cast("bigint").alias("open")), _KEY, "left").withColumn("open", F.coalesce("open", one))
     flagged = sets.filter(~maybe).withColumn("open", one).unionByName(known)
-    p = flagged.select(*_KEY, "n", "open", "bits", "wide", F.posexplode("first").alias("at", "token")).filter(F.col("token") >= _ALONE)
+    low = F.lit(0xFFFFFFFF)
+    p = flagged.select(*_KEY, "n", "open", "bits", "wide", "first", F.posexplode("first").alias("at", "code")).filter(F.col("code") >= _ALONE)
+    before = F.get("first", F.col("at") - 1)
+    prev = F.when(before >= _ALONE, before.bitwiseAND(low)).otherwise(F.lit(0).cast("bigint"))
+    # Rows of the shuffle are many: the end of the token's hash (others that share it are candidates too), that of the token before it
+    # (0: none) with the line's number, and size, position and openness in one number.
+    token = F.shiftright(F.shiftleft("code", 32), 32).cast("int")
+    place = F.shiftleft(F.col("line_no").cast("bigint"), 32).bitwiseOR(prev)
     about = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("bigint"), 1)).bitwiseOR(F.col("open"))
-    p = p.select("token", *_KEY, about.alias("about"), "bits", "wide")  # size, position and openness in one number: the shuffle's rows are many
-    a, b = p.alias("a"), p.alias("b")
-    (na, at_a, _), (nb, at_b, opened) = (
-        (F.shiftright(f"{s}.about", 32), F.shiftright(F.col(f"{s}.about").bitwiseAND(F.lit(0xFFFFFFFF)), 1), F.col(f"{s}.about").bitwiseAND(F.lit(1))) for s in ("a", "b")
-    )
-    earlier = (F.col("a.doc_id") < F.col("b.doc_id")) | ((F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.line_no") < F.col("b.line_no")))
-    positional = F.least(na - at_a, nb - at_b) >= _need(na, nb, threshold)
-    # A condition on one side would part the shuffles of the two; `opened` times a size of the other side is one on both.
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (opened * na > 0) & earlier & _plausible(na, nb, _apart("a.", "b."), threshold))
-    ends = [F.col("a.doc_id").alias("a_doc"), F.col("a.line_no").alias("a_line"), F.col("b.doc_id").alias("b_doc"), F.col("b.line_no").alias("b_line")]
-    # Of the set whose prefix ends first in the order, all shared tokens up to there are in the other's prefix too, and only n - need can be missing.
-    least = _need(na, nb, threshold) - F.ceil(F.greatest(na, nb) * threshold - 1e-9) + 1
-    found = met.groupBy(*ends).agg(F.count("*").alias("shared"), F.max(least).alias("least"), F.bool_or(positional).alias("positional"))
-    out = _util.cut(found.filter("positional and shared >= least").select("a_doc", "a_line", "b_doc", "b_line"), "line-pairs")
+    p = p.select(token.alias("token"), "doc_id", place.alias("place"), about.alias("about"), "bits", "wide").repartition("token")
+    half = lambda s, c: (F.shiftright(f"{s}{c}", 32), F.col(f"{s}{c}").bitwiseAND(low))
+    at_of = lambda x: F.shiftright(x, 1)
+    # The smaller set has a shared token in a shorter prefix. `rand` keeps this condition behind the shuffle, which both sides then read.
+    size, rest = half("", "about")
+    short = p.filter((size - at_of(rest) >= _need(size, size, threshold)) | (F.rand(0) < 0))
+    a, b = short.alias("a"), p.alias("b")
+    (na, rest_a), (nb, rest_b), (line_a, prev_a), (line_b, prev_b) = half("a.", "about"), half("b.", "about"), half("a.", "place"), half("b.", "place")
+    earlier = (F.col("a.doc_id") < F.col("b.doc_id")) | ((F.col("a.doc_id") == F.col("b.doc_id")) & (line_a < line_b))
+    smaller = (na < nb) | ((na == nb) & earlier)
+    positional = F.least(na - at_of(rest_a), nb - at_of(rest_b)) >= _need(na, nb, threshold)
+    # Where the tokens before meet as well, so does the pair, with more tokens to come on both sides.
+    starts = (prev_a != prev_b) | (prev_a == 0)
+    later_open = F.when(earlier, rest_b).otherwise(rest_a).bitwiseAND(F.lit(1)) == 1
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (na <= nb) & starts & positional & smaller & later_open & _plausible(na, nb, _apart("a.", "b."), threshold))
+    ends = {"a": (F.col("a.doc_id"), line_a.cast("int")), "b": (F.col("b.doc_id"), line_b.cast("int"))}
+    turned = [F.when(earlier, ends[s][i]).otherwise(ends[o][i]).alias(f"{s}_{c}") for s, o in ("ab", "ba") for i, c in enumerate(("doc", "line"))]
+    out = _util.cut(met.select(*turned).distinct(), "line-pairs")
     _util.forget(sets.sparkSession, name)
     return out
 
@@ -176,7 +196,7 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """
     ends = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")).unionByName(pairs.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")))
     wanted, name = _util.among(ends, F.xxhash64(*_KEY))
-    some = lines.filter(wanted)
+    some = _util.cut(lines.filter(wanted), "paired-lines")  # both sides read it
     sides = pairs
     for s in ("a", "b"):
         sides = sides.join(some.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line_no").alias(f"{s}_line"), F.col("norm").alias(s)), [f"{s}_doc", f"{s}_line"])
@@ -185,6 +205,7 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     found = sides.filter(both >= (F.size("x") + F.size("y") - both) * threshold - 1e-9).select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).distinct()
     out = _util.cut(found, "gone-lines")
     _util.forget(lines.sparkSession, name)
+    _util.drop(some)
     return out
 
 

@@ -151,6 +151,36 @@ def test_line_dedup_large_group(spark):
     assert {i: v for i, v in got.items() if v} == want and sum(map(len, want.values())) > 1500
 
 
+def rows_joined(spark, before):
+    """The most rows that a join made since there were ``before`` executions."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    for k in range(before, store.executionsCount()):
+        run = store.executionsList(k, 1).head().executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name():
+                for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_line_dedup_rows(spark):
+    """Near copies of one line meet about once a pair that is left to decide, and few are left."""
+    rng = random.Random(4)
+    base = [f"rare{i}" for i in range(40)]
+    lines = [" ".join(rng.choice(VOCAB) if rng.random() < 0.07 else w for w in base) for _ in range(1200)]
+    lines += [" ".join(rng.choices(VOCAB, k=40)) for _ in range(600)]
+    rng.shuffle(lines)
+    docs = [(i, "\n".join(lines[i * 18 : i * 18 + 18])) for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = {r.doc_id: list(r.removed) for r in line_dedup.removed_lines(df).collect()}
+    made = rows_joined(spark, before)
+    assert {i: v for i, v in got.items() if v} == brute_lines(docs)
+    assert 0 < made < 150_000
+
+
 def test_components(spark):
     ids = list(range(60))
     pairs = [(random.choice(ids), random.choice(ids)) for _ in range(35)] + [(i, i + 1) for i in range(100, 130)] + [(5, 5), (7, None)]
