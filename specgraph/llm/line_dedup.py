@@ -167,13 +167,11 @@ def candidates(sets: DataFrame, matched: DataFrame, threshold: float) -> DataFra
     token = F.shiftright(F.shiftleft("code", 32), 32).cast("int")
     place = F.shiftleft(F.col("line_no").cast("bigint"), 32).bitwiseOR(prev)
     about = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("bigint"), 1)).bitwiseOR(F.col("open"))
-    p = p.select(token.alias("token"), "doc_id", place.alias("place"), about.alias("about"), "bits", "wide").repartition("token")
+    p = p.select(token.alias("token"), "doc_id", place.alias("place"), about.alias("about"), "bits", "wide")
     half = lambda s, c: (F.shiftright(f"{s}{c}", 32), F.col(f"{s}{c}").bitwiseAND(low))
     at_of = lambda x: F.shiftright(x, 1)
-    # The smaller set has a shared token in a shorter prefix. `rand` keeps this condition behind the shuffle, which both sides then read.
-    size, rest = half("", "about")
-    short = p.filter((size - at_of(rest) >= _need(size, size, threshold)) | (F.rand(0) < 0))
-    a, b = short.alias("a"), p.alias("b")
+    # A condition on one side would part the shuffles of the two, so that each below names both.
+    a, b = p.alias("a"), p.alias("b")
     (na, rest_a), (nb, rest_b), (line_a, prev_a), (line_b, prev_b) = half("a.", "about"), half("b.", "about"), half("a.", "place"), half("b.", "place")
     earlier = (F.col("a.doc_id") < F.col("b.doc_id")) | ((F.col("a.doc_id") == F.col("b.doc_id")) & (line_a < line_b))
     smaller = (na < nb) | ((na == nb) & earlier)
