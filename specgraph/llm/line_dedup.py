@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _util
@@ -28,7 +28,7 @@ SEEDS, CHOICES = 2, 4
 #: Sets of more tokens than this also have the parities of 256 groups, in three more words.
 LONG = 112
 _MORE = ("w1", "w2", "w3")
-_SHIFT = 4294967296
+_SHIFT, _HALF = 4294967296, 2147483648
 _KEY = ["doc_id", "line_no"]
 #: ASCII white space.
 _SPACES = " \t\n\x0b\f\r"
@@ -47,7 +47,8 @@ def _norm(line: Column) -> Column:
 
 
 def _blank(line: Column) -> Column:
-    return F.btrim(line, F.lit(_SPACES)) == ""
+    """Whether there is nothing but ASCII white space; looks no further than the first other character."""
+    return F.ltrim(line, F.lit(_SPACES)) == ""
 
 
 def _tokens(norm: Column) -> Column:
@@ -56,12 +57,18 @@ def _tokens(norm: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, norm) of every line that isn't blank."""
-    parts = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return parts.select("doc_id", "line_no", _norm(F.col("line")).alias("norm")).filter("norm != ''")
+    # Blank lines are told by the line itself: a condition on ``norm`` would make each one twice.
+    parts = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(~_blank(F.col("line")))
+    return parts.select("doc_id", "line_no", _norm(F.col("line")).alias("norm"))
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, norm): each line text where it stands first; summed up before the shuffle, so that frequent lines travel once a task."""
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if least is None or (least >= -_HALF and most < _HALF):  # ids of 32 bits: a place is one number of 64
+        place = F.shiftleft(F.col("doc_id").cast("bigint"), 32).bitwiseOR(F.col("line_no").cast("bigint"))
+        first = _lines(docs).groupBy("norm").agg(F.min(place).alias("place"))
+        return first.select(F.shiftright("place", 32).alias("doc_id"), F.col("place").bitwiseAND(F.lit(_SHIFT - 1)).cast("int").alias("line_no"), "norm")
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(_SHIFT).cast("decimal(11,0)") + F.col("line_no")
     first = _lines(docs).groupBy("norm").agg(F.min(place.cast("decimal(38,0)")).alias("place"))
     number = F.pmod("place", F.lit(_SHIFT).cast("decimal(11,0)"))
@@ -97,9 +104,9 @@ def line_sets(lines: DataFrame, threshold: float) -> DataFrame:
         level = F.coalesce(F.get(levels, F.shiftrightunsigned(h, 64 - k).cast("int")), F.lit(0).cast("tinyint"))  # never null, which keeps arrays of codes plain
         return F.shiftleft(level.cast("bigint"), _LEVEL_BIT).bitwiseOR(h.bitwiseAND(F.lit(_ALONE - 1)))
 
-    hashes = F.transform(F.array_remove(F.split("norm", " "), ""), lambda t: F.xxhash64(t))
-    codes = F.sort_array(F.array_distinct(F.transform(hashes, code)))
-    each = lines.select(*_KEY, F.explode(F.array(codes)).alias("codes"))  # a generator, so that the codes are made once and not once per use
+    hashes = F.array_distinct(F.transform(F.array_remove(F.split("norm", " "), ""), lambda t: F.xxhash64(t)))  # distinct before their levels are looked up
+    codes = F.sort_array(F.transform(hashes, code))
+    each = lines.select(*_KEY, codes.alias("codes"))  # costly and used more than once, so that the optimizer leaves it where it is
     n = F.size("codes")
     part = lambda i: _parities(F.filter("codes", lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(3)) == i))
     words = [_parities(F.col("codes")).alias("bits"), F.when(n > LONG, F.struct(*[part(i).alias(w) for i, w in enumerate(_MORE, 1)])).alias("wide")]
@@ -143,8 +150,10 @@ def first_candidates(sets: DataFrame, threshold: float) -> DataFrame:
     next_to = F.zip_with(F.slice("live", F.lit(1), rest), F.slice("live", F.lit(2), rest), lambda x, y: F.xxhash64(x, y))
     own = live.select(F.explode(F.slice(F.sort_array(F.when(F.size("live") > 1, next_to).otherwise(F.col("live"))), 1, SEEDS)).alias("seed"), *_KEY, "n", "bits", "wide")
     line, part = F.struct(*_KEY, "n", "bits", "wide"), F.xxhash64(*_KEY).bitwiseAND(F.lit(CHOICES - 1))
-    earliest = own.groupBy("seed").agg(*[F.min(F.when(part == i, line)).alias(f"a{i}") for i in range(CHOICES)], F.count("*").alias("c")).filter("c > 1")
-    met = own.join(earliest, "seed").select(*_KEY, "n", "bits", "wide", F.explode(F.array_compact(F.array(*[f"a{i}" for i in range(CHOICES)]))).alias("a"))
+    # A window deals the lines out once, where a join with the earliest ones would make the seeds and deal them out twice.
+    group = Window.partitionBy("seed")
+    earliest = own.select("*", *[F.min(F.when(part == i, line)).over(group).alias(f"a{i}") for i in range(CHOICES)], F.count("*").over(group).alias("c")).filter("c > 1")
+    met = earliest.select(*_KEY, "n", "bits", "wide", F.explode(F.array_compact(F.array(*[f"a{i}" for i in range(CHOICES)]))).alias("a"))
     apart = _apart("a.", "")
     met = met.filter(_earlier("a.", "") & _plausible(F.col("a.n"), F.col("n"), apart, threshold))
     best = met.groupBy(*_KEY).agg(F.min(F.struct(apart.alias("apart"), F.col("a.doc_id").alias("doc_id"), F.col("a.line_no").alias("line_no"))).alias("a"))
@@ -167,11 +176,14 @@ def candidates(sets: DataFrame, matched: DataFrame, threshold: float) -> DataFra
     token = F.shiftright(F.shiftleft("code", 32), 32).cast("int")
     place = F.shiftleft(F.col("line_no").cast("bigint"), 32).bitwiseOR(prev)
     about = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("at").cast("bigint"), 1)).bitwiseOR(F.col("open"))
-    p = p.select(token.alias("token"), "doc_id", place.alias("place"), about.alias("about"), "bits", "wide")
+    p = p.select(token.alias("token"), "doc_id", place.alias("place"), about.alias("about"), "bits", "wide").repartition("token")
     half = lambda s, c: (F.shiftright(f"{s}{c}", 32), F.col(f"{s}{c}").bitwiseAND(low))
     at_of = lambda x: F.shiftright(x, 1)
-    # A condition on one side would part the shuffles of the two, so that each below names both.
-    a, b = p.alias("a"), p.alias("b")
+    # The smaller set's prefix is cut to what it needs behind the shuffle that both sides read. A plain condition on one side would go
+    # before it and part the two, so that these name the partition, and each below names both sides.
+    n = F.shiftright("about", 32)
+    short = n - at_of(F.col("about").bitwiseAND(low)) >= _need(n, n, threshold)
+    a, b = p.filter(F.when(short, F.spark_partition_id()).otherwise(-1) >= 0).alias("a"), p.filter(F.spark_partition_id() >= 0).alias("b")
     (na, rest_a), (nb, rest_b), (line_a, prev_a), (line_b, prev_b) = half("a.", "about"), half("b.", "about"), half("a.", "place"), half("b.", "place")
     earlier = (F.col("a.doc_id") < F.col("b.doc_id")) | ((F.col("a.doc_id") == F.col("b.doc_id")) & (line_a < line_b))
     smaller = (na < nb) | ((na == nb) & earlier)
@@ -179,7 +191,10 @@ def candidates(sets: DataFrame, matched: DataFrame, threshold: float) -> DataFra
     # Where the tokens before meet as well, so does the pair, with more tokens to come on both sides.
     starts = (prev_a != prev_b) | (prev_a == 0)
     later_open = F.when(earlier, rest_b).otherwise(rest_a).bitwiseAND(F.lit(1)) == 1
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (na <= nb) & starts & positional & smaller & later_open & _plausible(na, nb, _apart("a.", "b."), threshold))
+    # What costs least and tells most comes first: nearly all pairs that share a token end at their sizes or at the 64 parities.
+    sizes = (na <= nb) & (na >= nb * threshold - 1e-9)
+    parities = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    met = b.join(a, (F.col("a.token") == F.col("b.token")) & sizes & parities & starts & smaller & later_open & positional & _plausible(na, nb, _apart("a.", "b."), threshold))
     ends = {"a": (F.col("a.doc_id"), line_a.cast("int")), "b": (F.col("b.doc_id"), line_b.cast("int"))}
     turned = [F.when(earlier, ends[s][i]).otherwise(ends[o][i]).alias(f"{s}_{c}") for s, o in ("ab", "ba") for i, c in enumerate(("doc", "line"))]
     out = _util.cut(met.select(*turned).distinct(), "line-pairs")

@@ -181,6 +181,40 @@ def test_line_dedup_rows(spark):
     assert 0 < made < 150_000
 
 
+def test_line_dedup_wide_ids(spark):
+    """Ids of more than 32 bits, on either side of 0, stand in the same order as small ones."""
+    line = text(20)
+    for ids in ([-(2**31), -1, 2**31 - 1], [-(2**40), -1, 2**31], [-(2**63), 0, 2**63 - 1], [-(2**31) - 1, -(2**31), 5]):
+        docs = [(i, f"{text(9)}\n{line}\n \t\n{line.upper()}") for i in ids]
+        got = {r.doc_id: list(r.removed) for r in line_dedup.removed_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert {i: v for i, v in got.items() if v} == brute_lines(docs) == {ids[0]: [3], ids[1]: [1, 3], ids[2]: [1, 3]}
+
+
+def plans(spark, before):
+    """Descriptions of the executions since there were ``before``."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    return [store.executionsList(k, 1).head().physicalPlanDescription() for k in range(before, store.executionsCount())]
+
+
+def test_line_dedup_work(spark):
+    """Lines are brought to their common form once, the first pass needs no join, and the join by tokens cuts the smaller side's prefix behind the shuffle."""
+    docs = spark.createDataFrame([(i, "\n".join(text(12) for _ in range(5))) for i in range(40)], "doc_id long, text string")
+    plan = line_dedup.distinct_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not any("Filter" in row and "lower" in row for row in plan.splitlines())
+    sets = line_dedup.line_sets(line_dedup.distinct_lines(docs), 0.8)
+    assert "Join" not in line_dedup.first_candidates(sets, 0.8)._jdf.queryExecution().executedPlan().toString()
+    matched = line_dedup._util.cut(sets.select("doc_id", "line_no").limit(3), "matched")
+    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        line_dedup.candidates(sets, matched, 0.8).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joined = [p for p in plans(spark, before) if "SortMergeJoin" in p and "token" in p]
+    assert len(joined) == 1
+    assert "spark_partition_id" in joined[0].lower()
+
+
 def test_components(spark):
     ids = list(range(60))
     pairs = [(random.choice(ids), random.choice(ids)) for _ in range(35)] + [(i, i + 1) for i in range(100, 130)] + [(5, 5), (7, None)]
